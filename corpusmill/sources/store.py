@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -10,8 +11,25 @@ from pyspark.sql import DataFrame, SparkSession
 LOCAL_WORK_DIR = "file:///tmp/checkpoints"
 
 
+#: Rows that Python workers get at once, where the session has Spark's default of 10,000:
+#: whole texts make batches large, and an executor holds several.
+BATCH_ROWS = "2000"
+
+
+def importable(spark: SparkSession) -> None:
+    """Let Python workers import this package where they can see the folder it was read from.
+
+    Elsewhere the package must be installed or sent along with the job. Also keeps Arrow
+    batches small.
+    """
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).parents[2]))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The Parquet table `name` of a data folder."""
+    importable(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -28,6 +46,7 @@ def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     executors, and its readers do not recompute what came before.
     """
     spark = df.sparkSession
+    importable(spark)
     path = work_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
