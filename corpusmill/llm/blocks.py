@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusmill.sources.store import written
+
 
 def in_blocks(rows: DataFrame, keys: list[str], by: str, cap: int) -> DataFrame:
     """Deal the rows of each bucket to pairs of blocks of about `cap` rows.
@@ -19,7 +21,8 @@ def in_blocks(rows: DataFrame, keys: list[str], by: str, cap: int) -> DataFrame:
     group and no group holds over about two blocks, however large the bucket is. Adds
     block (the row's own), block_i and block_j.
     """
-    sizes = rows.groupBy(*keys).agg(F.count("*").alias("bucket_rows")).where("bucket_rows > 1")
+    # Written, so that the join below reads two plain exchanges and can split a hot bucket.
+    sizes, _ = written(rows.groupBy(*keys).agg(F.count("*").alias("bucket_rows")).where("bucket_rows > 1"), "bucket-sizes")
     g = F.ceil(F.col("bucket_rows") / cap).cast("int")
     dealt = rows.join(sizes, keys).withColumn("block", F.pmod(F.xxhash64(by), g).cast("int"))
     other = F.explode(F.sequence(F.lit(0), g - 1))

@@ -163,6 +163,8 @@ def repeated_spans(base: DataFrame, docs: DataFrame, depth: int, anchor: int, di
     # Pass 1: anchors that occur twice or more.
     rows = docs.select("k", "text").mapInArrow(find, "head bigint, whole bigint, k bigint, span bigint")
     heads = rows.groupBy("head").agg(F.count("*").alias("n"), F.min("whole").alias("lo"), F.max("whole").alias("hi")).where("n > 1")
+    # Written, so that the join below reads two plain exchanges and can split a hot anchor.
+    heads, _ = written(heads, "anchors")
     met, _ = written(rows.join(heads, "head").select("head", "whole", "k", "span", (F.col("lo") == F.col("hi")).alias("alike"), (F.col("n") > group_rows).alias("hot")), "runs")
     # Pass 2: equal runs.
     alike = met.where("alike").select("k", "span")
