@@ -32,8 +32,8 @@ END_ID = 2
 BATCH_TOKENS = 1 << 20
 #: Tokens of a step group.
 STEP_TOKENS = 64 * CONTEXT
-#: Bytes of text tokenized at once.
-TEXT_BYTES = 1 << 21
+#: Bytes of text tokenized at once; few enough to stay in a core's cache between passes.
+TEXT_BYTES = 1 << 16
 
 PIECE = tuple[int, int, int]  # document's place in the batch, start, length
 
