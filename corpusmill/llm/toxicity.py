@@ -38,7 +38,7 @@ MARKED_SHARE = 0.05
 PENALTY = 0.006
 MOST_FEATURES = 5_000
 #: Expected severity from which a document is rejected.
-REJECT = 0.6
+REJECT = 0.5
 
 
 def text_words(text: str | None) -> Counter[str]:
@@ -57,54 +57,62 @@ def text_features(words: Counter[str]) -> dict[str, float]:
     return {f: math.log1p(c) for f, c in counts.items()} | {"": math.log(max(words.total(), SHORT))}
 
 
-def sampled(docs: DataFrame, labels: DataFrame, sample: int) -> tuple[list[dict[str, float]], np.ndarray]:
-    """Features and toxic (0/1) of at most `sample` labelled documents, equal texts once."""
+def packed_words(text: str | None) -> str:
+    """The words of a text and their counts in one string, words in order."""
+    return " ".join(f"{w} {c}" for w, c in sorted(text_words(text).items()))
+
+
+def unpacked(words: str) -> dict[str, float]:
+    """Features of packed_words()."""
+    parts = words.split(" ") if words else []
+    return text_features(Counter({w: int(c) for w, c in zip(parts[::2], parts[1::2], strict=True)}))
+
+
+def sampled(docs: DataFrame, labels: DataFrame, sample: int) -> tuple[list[str], np.ndarray]:
+    """Packed words and toxic (0/1) of at most `sample` labelled documents, equal texts once."""
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
     pick = lambda t: known.where(F.col("toxic") == t).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample // 2)
     chosen = F.broadcast(pick(1).union(pick(0)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            words = [sorted(text_words(t).items()) for t in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(words, pa.map_(pa.string(), pa.int32())), b.column(1)], names=["words", "toxic"])
-
-    rows = docs.select("doc_id", "text").join(chosen, "doc_id").select("text", "toxic").mapInArrow(run, "words map<string,int>, toxic int").collect()
-    once = sorted({(tuple(sorted(r.words.items())), r.toxic) for r in rows})
-    return [text_features(Counter(dict(words))) for words, _ in once], np.array([t for _, t in once], dtype=np.int64)
-
-
-def shares(texts: list[dict[str, float]], toxic: np.ndarray) -> tuple[dict[str, float], dict[str, float]]:
-    """The mean value of every feature over the clean and over the toxic texts."""
-    out = []
-    for kind in (0, 1):
-        sums: dict[str, float] = {}
-        for t in (texts[i] for i in np.flatnonzero(toxic == kind)):
-            for f, v in t.items():
-                sums[f] = sums.get(f, 0.0) + v
-        n = max(1, int((toxic == kind).sum()))
-        out.append({f: v / n for f, v in sums.items()})
-    return out[0], out[1]
-
-
-def graded(texts: list[dict[str, float]], toxic: np.ndarray, grades: int) -> np.ndarray:
-    """Severity grades 0..grades-1 of the sample: toxic texts split at even shares of their marked features."""
-    clean_mean, toxic_mean = shares(texts, toxic)
-    marked = {f for f, v in toxic_mean.items() if f and v >= MARKED_SHARE and v >= 5 * clean_mean.get(f, 0.0)}
-    counts = np.array([len(marked.intersection(t)) for t in texts])
-    held = counts[toxic == 1]
-    cuts = np.quantile(held, np.arange(1, grades - 1) / (grades - 1)) if len(held) else []
-    return np.where(toxic == 1, 1 + np.searchsorted(cuts, counts, side="left"), 0)
+            yield pa.RecordBatch.from_arrays([pa.array([packed_words(t.as_py()) for t in b.column(0)], pa.string()), b.column(1)], names=["words", "toxic"])
+
+    rows = docs.select("doc_id", "text").join(chosen, "doc_id").select("text", "toxic").mapInArrow(run, "words string, toxic int").collect()
+    once = sorted({(r.words, r.toxic) for r in rows})
+    return [w for w, _ in once], np.array([t for _, t in once], dtype=np.int64)
 
 
-def features(texts: list[dict[str, float]], toxic: np.ndarray) -> list[str]:
-    """The length, and what LEAST_TEXTS texts hold with means over toxic and clean texts LEAST_SHARE apart."""
-    clean_mean, toxic_mean = shares(texts, toxic)
-    df = Counter(f for t in texts for f in t)
-    gap = {f: abs(toxic_mean.get(f, 0.0) - clean_mean.get(f, 0.0)) for f, n in df.items() if f and n >= LEAST_TEXTS}
-    return ["", *sorted((f for f, g in gap.items() if g >= LEAST_SHARE), key=lambda f: (-gap[f], f))[:MOST_FEATURES]]
+class Shares:
+    """Of every feature of the sample, the number of texts that hold it and its mean over clean and over toxic texts."""
+
+    def __init__(self, texts: list[str], toxic: np.ndarray):
+        self.of: dict[str, list[float]] = {}
+        n = [max(1, int((toxic == kind).sum())) for kind in (0, 1)]
+        for words, kind in zip(texts, toxic.tolist(), strict=True):
+            for f, v in unpacked(words).items():
+                x = self.of.setdefault(f, [0, 0.0, 0.0])
+                x[0] += 1
+                x[1 + kind] += v / n[kind]
+        self.of.pop("", None)
+
+    def marked(self) -> set[str]:
+        """Features that toxic texts hold and clean ones rarely do."""
+        return {f for f, (_, clean, toxic) in self.of.items() if toxic >= MARKED_SHARE and toxic >= 5 * clean}
+
+    def features(self) -> list[str]:
+        """The length, and what LEAST_TEXTS texts hold with means LEAST_SHARE apart."""
+        gap = {f: d for f, (n, clean, toxic) in self.of.items() if n >= LEAST_TEXTS and (d := abs(toxic - clean)) >= LEAST_SHARE}
+        return ["", *sorted(gap, key=lambda f: (-gap[f], f))[:MOST_FEATURES]]
+
+
+def graded(counts: np.ndarray, toxic: np.ndarray, grades: int) -> np.ndarray:
+    """Severity grades 0..grades-1 of the sample: toxic texts split at even shares of their numbers of marked features."""
+    cuts = np.quantile(counts[toxic == 1], np.arange(1, grades - 1) / (grades - 1))
+    return np.where(toxic == 1, 1 + np.searchsorted(cuts, counts, side="left"), 0)
 
 
-def fit(texts: list[dict[str, float]], toxic: np.ndarray, grades: int = 3, penalty: float = PENALTY, rounds: int = 600) -> tuple[dict[str, float], list[float]]:
+def fit(texts: list[str], toxic: np.ndarray, grades: int = 3, penalty: float = PENALTY, rounds: int = 600) -> tuple[dict[str, float], list[float]]:
     """Weights of words and thresholds of the cumulative-link model.
 
     Accelerated proximal gradient on the likelihood, toxic and clean texts weighing half
@@ -115,12 +123,20 @@ def fit(texts: list[dict[str, float]], toxic: np.ndarray, grades: int = 3, penal
     """
     if not len(toxic) or toxic.max() == 0 or toxic.min() > 0:
         return {}, [50.0] * (grades - 1)
-    y = graded(texts, toxic, grades)
-    names = features(texts, toxic)
+    shares = Shares(texts, toxic)
+    marked, names = shares.marked(), shares.features()
+    del shares
     vocab = {f: k for k, f in enumerate(names)}
-    held = [[(vocab[f], x) for f, x in t.items() if f in vocab] for t in texts]
-    row = np.repeat(np.arange(len(y)), [len(h) for h in held])
-    flat, value = np.array([k for h in held for k, _ in h], dtype=np.int64), np.array([x for h in held for _, x in h])
+    flat, value, lengths, counts = [], [], [], []
+    for words in texts:
+        held = unpacked(words)
+        mine = [f for f in held if f in vocab]
+        flat.append(np.array([vocab[f] for f in mine], dtype=np.int32))
+        value.append(np.array([held[f] for f in mine]))
+        lengths.append(len(mine))
+        counts.append(len(marked.intersection(held)))
+    y = graded(np.array(counts), toxic, grades)
+    flat, value, row = np.concatenate(flat), np.concatenate(value), np.repeat(np.arange(len(y)), lengths)
     n, k, v = len(y), grades - 1, len(names)
     share = np.where(y > 0, 0.5 / (y > 0).sum(), 0.5 / (y == 0).sum())
     logistic = lambda z: 1 / (1 + np.exp(-np.clip(z, -40, 40)))
