@@ -16,7 +16,7 @@ from corpusmill.sources.store import importable, table, written
 #: Near-duplicates of the pipeline: five-word shingles under 256-bit fingerprints. Texts of
 #: similarity 0.8 differ in 39 of 256 bits on average and unrelated ones in 128; the radius
 #: takes the spread of the estimate in.
-NEAR = {"words": 5, "lanes": 4, "radius": 45, "tables": 48, "bits": 18}
+NEAR = {"words": 5, "lanes": 4, "radius": 48, "similarity": 0.8}
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

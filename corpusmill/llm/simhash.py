@@ -124,31 +124,35 @@ def fingerprinted(docs: DataFrame, words: int, lanes: int) -> DataFrame:
     return pairs.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, row_key bigint, fp binary, node bigint")
 
 
-def quarter_keys(fp: np.ndarray) -> np.ndarray:
-    """The four 16-bit quarters of one-lane fingerprints: exact for radius 3."""
-    return np.stack([(fp[:, 0] >> np.uint64(16 * q)) & np.uint64(0xFFFF) for q in range(4)], axis=1)
-
-
-def sampled_keys(tables: int, bits: int, lanes: int) -> np.ndarray:
-    """For each table, which `bits` of the fingerprint make its key; fixed by a seed."""
+def layout(n: int, lanes: int, similarity: float, recall: float) -> np.ndarray:
+    """Which bits make the key of each table, int array (tables, bits), for n fingerprints.
+
+    Keys grow with log2(n), so that unrelated fingerprints share few shards at any size, and
+    the number of tables grows with them, so that a pair of texts whose shingle sets have
+    Jaccard similarity `similarity` meets in one with probability `recall`. Such a pair is at
+    an angle whose cosine is 2s / (1 + s), and a bit agrees with probability 1 - angle / pi.
+    The choice of bits is fixed by a seed.
+    """
+    bits = max(10, int(np.ceil(np.log2(max(n, 2))))) + 2
+    agree = 1 - np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    tables = int(np.ceil(np.log(1 - recall) / np.log(1 - agree**bits)))
     rng = np.random.default_rng(20240607)
     return np.stack([rng.choice(64 * lanes, bits, replace=False) for _ in range(tables)])
 
 
-def key_maker(lanes: int, tables: int | None, bits: int):
-    """A function from fingerprints to their shard keys, one column for each table."""
-    if tables is None:
-        return quarter_keys
-    picks = sampled_keys(tables, bits, lanes)
+def quarters() -> np.ndarray:
+    """The four 16-bit quarters of one-lane fingerprints: exact for radius 3."""
+    return np.arange(64).reshape(4, 16)
 
-    def keys(fp: np.ndarray) -> np.ndarray:
-        out = np.zeros((len(fp), tables), dtype=np.uint64)
-        for t, pick in enumerate(picks):
-            for k, bit in enumerate(pick.tolist()):
-                out[:, t] |= ((fp[:, bit // 64] >> np.uint64(bit % 64)) & np.uint64(1)) << np.uint64(k)
-        return out
 
-    return keys
+def shard_keys(fp: np.ndarray, picks: np.ndarray) -> np.ndarray:
+    """Shard numbers of fingerprints (texts, lanes): int64 array (texts, tables)."""
+    bits = np.unpackbits(fp.astype("<u8").view(np.uint8), axis=1, bitorder="little")
+    tables, width = picks.shape
+    key = np.zeros((len(fp), tables), dtype=np.int64)
+    for k in range(width):
+        key |= bits[:, picks[:, k]].astype(np.int64) << k
+    return key * tables + np.arange(tables)
 
 
 class BKTree:
@@ -205,18 +209,14 @@ def shard_links(fps: list[int], block: list[int], i: int, j: int, radius: int) -
     return forest.stars()
 
 
-def links(distinct: DataFrame, lanes: int, radius: int, tables: int | None, bits: int, cap: int = SHARD_ROWS) -> DataFrame:
+def links(distinct: DataFrame, lanes: int, radius: int, picks: np.ndarray, cap: int = SHARD_ROWS) -> DataFrame:
     """Edges u, v that connect the same nodes as all links among distinct (node, fp)."""
-    make = key_maker(lanes, tables, bits)
 
     def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = np.frombuffer(b"".join(b.column(1).to_pylist()), dtype=">u8").reshape(-1, lanes).astype(np.uint64)
-            keys = make(fp)
-            n, t = keys.shape
-            take = pa.array(np.repeat(np.arange(n), t))
-            key = keys.ravel().astype(np.int64) * t + np.tile(np.arange(t), n)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(key)], names=["node", "fp", "shard"])
+            keys = shard_keys(unpacked(b.column(1).to_pylist(), lanes), picks)
+            node = b.column(0).take(pa.array(np.repeat(np.arange(len(keys)), len(picks))))
+            yield pa.RecordBatch.from_arrays([node, pa.array(keys.ravel())], names=["node", "shard"])
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, bounds in groups(batches, ["shard", "block_i", "block_j"]):
@@ -230,12 +230,17 @@ def links(distinct: DataFrame, lanes: int, radius: int, tables: int | None, bits
                     v.append(node[a + y])
             yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
-    rows = distinct.select("node", "fp").mapInArrow(shard, "node bigint, fp binary, shard bigint")
-    dealt = grouped(in_blocks(rows, ["shard"], "node", cap), ["shard", "block_i", "block_j"])
-    return dealt.mapInArrow(search, "u bigint, v bigint")
+    rows = distinct.select("node", "fp").mapInArrow(shard, "node bigint, shard bigint")
+    # Fingerprints join when shards of one row are gone.
+    dealt = in_blocks(rows, ["shard"], "node", cap).join(distinct.select("node", "fp"), "node")
+    return grouped(dealt, ["shard", "block_i", "block_j"]).mapInArrow(search, "u bigint, v bigint")
+
+
+def unpacked(fps: list[bytes], lanes: int) -> np.ndarray:
+    return np.frombuffer(b"".join(fps), dtype=">u8").reshape(-1, lanes).astype(np.uint64)
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, lanes: int = 1, radius: int = 3, tables: int | None = None, bits: int = 16, cap: int = SHARD_ROWS) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 5, lanes: int = 1, radius: int = 3, similarity: float | None = None, recall: float = 0.95, cap: int = SHARD_ROWS) -> DataFrame:
     """Group near copies: doc_id, row_key, fp (binary), root (bigint, one for each group), component_id.
 
     docs: doc_id, text and any others, which are ignored. component_id is the smallest
@@ -244,14 +249,16 @@ def near_duplicates(docs: DataFrame, words: int = 5, lanes: int = 1, radius: int
     words all have fingerprint zero and link like any other. Repeated rows stay repeated.
     An empty table gives no rows.
 
-    tables=None searches 64-bit fingerprints exactly within 3 bits. Otherwise `tables`
-    keys of `bits` fingerprint bits each bring candidates together, for wider radii.
+    similarity=None searches 64-bit fingerprints exactly within 3 bits. Otherwise shards are
+    laid out so that texts of that similarity meet with probability `recall`, more alike ones
+    with a higher one, and `radius` decides.
     """
-    if tables is None and (lanes, radius > 3) != (1, False):
-        raise ValueError("a search without sampled tables is exact for one lane and radius 3 at most")
+    if similarity is None and (lanes, radius > 3) != (1, False):
+        raise ValueError("a search without a similarity is exact for one lane and radius 3 at most")
     prints, _ = written(fingerprinted(docs, words, lanes), "fingerprints")
     distinct, _ = written(prints.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("fp").alias("fp")), "distinct")
-    root_of = components(links(distinct, lanes, radius, tables, bits, cap))
+    picks = quarters() if similarity is None else layout(distinct.count(), lanes, similarity, recall)
+    root_of = components(links(distinct, lanes, radius, picks, cap))
     rooted = distinct.join(root_of, "node", "left").withColumn("root", F.coalesce("root", "node"))
     smallest = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     named = rooted.join(smallest, "root").select("node", "root", "component_id")

@@ -189,7 +189,7 @@ def test_wide_fingerprints_group_copies_of_similarity_above_08(spark):
             expected[len(rows)] = 4 * g
             rows.append((len(rows), " ".join(v), "s"))
     docs = spark.createDataFrame(rows, DOC)
-    groups = simhash.near_duplicates(docs, words=5, lanes=4, radius=45, tables=48, bits=18)
+    groups = simhash.near_duplicates(docs, words=5, lanes=4, radius=48, similarity=0.8)
     assert {r.doc_id: r.component_id for r in groups.collect()} == expected
     kept = simhash.keep_one(docs, groups)
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [4 * g for g in range(30)]
