@@ -33,6 +33,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Tables of less than this may be one row group, which is one task however many cores there are.
+SMALL_BYTES = 16 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deal a small table to all cores, for work that is heavy for each row; larger ones stay as they are read."""
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if int(size) < SMALL_BYTES else df
+
+
 def work_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the folder that driver and executors share."""
     base = spark.conf.get("spark.checkpoint.dir", None) or LOCAL_WORK_DIR

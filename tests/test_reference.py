@@ -1,0 +1,265 @@
+"""Functions and operators against transcribed fixtures."""
+
+import itertools
+import json
+
+import pytest
+from pyspark.sql import functions as F
+
+from corpusmill import cli
+from corpusmill.functions import dates, text, urls
+from corpusmill.functions.html import extract
+from corpusmill.functions.splits import first_hash_byte, split_bucket
+from corpusmill.operators import crawl, dataset, labeling, near_dup, qc, rouge, summarize
+from corpusmill.sources import feeds, jsonl
+from corpusmill.sources.store import importable
+from corpusmill.streaming import dedupe
+
+
+@pytest.fixture(scope="module", autouse=True)
+def _workers(spark):
+    importable(spark)
+
+
+def each(spark, function, values):
+    df = spark.createDataFrame([(k, v) for k, v in enumerate(values)], "k int, v string")
+    return [r[0] for r in df.select(function(F.col("v")).alias("r"), "k").orderBy("k").collect()]
+
+
+def cases(spark, function, table):
+    assert each(spark, function, list(table)) == list(table.values())
+
+
+def test_canonical_category(spark):
+    cases(spark, urls.canonical_category, {"thời sự": "thoi_su", "kinh-doanh": "kinh_doanh", "xa-hoi": "thoi_su", None: None, "": None, "unknown": None, "the": "the_thao", "a": "thoi_su"})
+
+
+def test_canonicalize_url(spark):
+    cases(spark, urls.canonicalize_url, {
+        "https://vnexpress.net/bai.html?utm_source=fb": "https://vnexpress.net/bai.html", "HTTP://VNEXPRESS.NET:80//bai.html/": "http://vnexpress.net/bai.html",
+        "https://a.com/b?z=1&a=2": "https://a.com/b?a=2&z=1", "https://a.com": "https://a.com/", "https://a.com/x?refresh=1&from_date=2&k=": "https://a.com/x",
+        "https://a.com:8443/p#frag": "https://a.com:8443/p", "https://a.com/x?q=a~b*c d": "https://a.com/x?q=a~b%2Ac+d", "https://a.com/x?q=%zz%41+b": "https://a.com/x?q=%25zzA+b", None: None,
+    })
+    assert each(spark, urls.url_hash, ["https://vnexpress.net/bai.html"]) == ["ce9005e66275685174d73bbe7f870dcb"]
+
+
+def test_category_from_url(spark):
+    cases(spark, urls.category_from_url, {"https://v.net/thoi-su/x.html": "thoi_su", "https://v.net/bai.html": None, "https://v.net": None})
+
+
+def test_normalize_text(spark):
+    cases(spark, text.normalize_text, {"  Tin  tức   hôm nay  ": "Tin tức hôm nay", "Nội dung.\nĐọc thêm: bài liên quan": "Nội dung.", "Hello.\nTags: tag1, tag2": "Hello.", None: "", "A B　C": "A B C", "é": "é", "a\x1cb": "a b"})
+
+
+def test_dates(spark):
+    fmt = lambda c: F.date_format(dates.to_utc(c), "yyyy-MM-dd HH:mm:ss")
+    cases(spark, fmt, {"Mon, 01 Jan 2024 10:00:00 +0700": "2024-01-01 03:00:00", "Mon, 01 Jan 2024 10:00:00 -0000": "2024-01-01 10:00:00", "Mon, 01 Jan 2024 10:00:00 GMT": "2024-01-01 10:00:00", "1 Jan 24 09:05 EST": "2024-01-01 14:05:00", "2024-01-01": None, "2024-01-01T10:00:00Z": None, "x": None, None: None})
+
+
+def test_text_functions(spark):
+    assert each(spark, text.word_count, ["Tin tức hôm nay", "", None]) == [4, 0, 0]
+    got = each(spark, text.sentences, ["Câu một. Câu hai! Câu ba?", "Một câu duy nhất.", "", "Kết thúc bằng ellipsis… Câu tiếp."])
+    assert [len(x) for x in got] == [3, 1, 0, 2]
+    cases(spark, text.numerics, {"Có 1.500 người và 30% tăng trưởng": ["1.500", "30"], "Không có số": [], "Ngày 15/3/2024 có 2 sự kiện": ["15/3/2024", "2"]})
+    names = each(spark, text.entities, ["Ông Nguyễn Văn A cho biết tại Hà Nội ngày 15/3"])[0]
+    assert any("Nguyễn Văn" in n for n in names) and "Hà Nội" in names
+    for source, token, found in (("Có 1.500 người", "1.500", True), ("Có 1500 người", "1.500", True), ("Có 2000 người", "1.500", False), ("GDP tăng 6,5%", "6,5%", True)):
+        assert each(spark, lambda c, t=token: text.contains_numeric(c, F.lit(t)), [source]) == [found]
+    assert each(spark, text.escape_html, ["<a href=\"x\">'&"]) == ["&lt;a href=&quot;x&quot;&gt;&#39;&amp;"]
+    assert qc.partial_ratio("Nguyễn Văn A", "Ông Nguyễn Văn A cho biết") == 100 and qc.partial_ratio("Nguyễn Văn A", "Bài về kinh tế") < 85
+
+
+def test_fingerprints():
+    assert near_dup.gram_counts("hello") == {"hell": 1, "ello": 1} and near_dup.gram_counts("") == {} and near_dup.gram_counts("abc") == {"abc": 1}
+    assert near_dup.gram_counts("a" * 100) == {"aaaa": 50}
+    one = near_dup.fingerprint("hell")
+    assert one == 2136182969153299478 and near_dup.fingerprint(None) == 0 == near_dup.fingerprint(" ,. ")
+
+
+def test_hamming(spark):
+    df = spark.createDataFrame([(-1, 0, 64), (5, 3, 2), (5, 5, 0)], "a bigint, b bigint, d int")
+    assert df.where(near_dup.hamming(F.col("a"), F.col("b")) != F.col("d")).count() == 0
+
+
+def brute_kept(fps):
+    kept = []
+    for fp in fps:
+        if all(((fp ^ k) & (2**64 - 1)).bit_count() > 3 for k in kept):
+            kept.append(fp)
+            yield True
+        else:
+            yield False
+
+
+def test_near_dup_is_greedy(spark):
+    fps = [0, 0b111, 0b111111, 0, 1 << 62, (1 << 62) | 0b1111111, 0b111000000, 0b110111111]
+    fps += [x ^ y for x, y in itertools.product([12345678901234567, -98765432109876543], [1 << k for k in range(0, 40, 3)])]
+    df = spark.createDataFrame(list(enumerate(fps)), "seq bigint, fp bigint")
+    want = [k for k, keep in enumerate(brute_kept(fps)) if keep]
+    assert sorted(r.seq for r in near_dup.near_dup_kept(df).collect()) == want and want[:2] == [0, 2]
+    assert near_dup.near_dup_kept(df.limit(0)).count() == 0
+
+
+def test_near_dup_on_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", F.col("doc_id").alias("seq"), near_dup.simhash64("text").alias("fp"))
+    assert near_dup.near_dup_kept(docs).count() == 179
+
+
+def test_splits(spark):
+    ids = spark.range(0, 1000).select("id", split_bucket(F.col("id")).alias("s"), first_hash_byte(F.col("id")).alias("b")).collect()
+    assert {r.id for r in ids if r.s == "val" and 1 <= r.id <= 20} == {1, 8, 12} and {r.id for r in ids if r.s == "test" and 1 <= r.id <= 20} == {6, 15}
+    assert [sum(r.s == s for r in ids) for s in ("train", "val", "test")] == [785, 111, 104] and ids[42].b == 76
+    rows = spark.createDataFrame([(1, "a", "s", True), (2, "a", "s", True), (3, "a", "", False), (4, "a", "s", None), (5, "", "s", True), (None, " ", " ", True)], "article_id bigint, content_text string, summary string, qc_passed boolean")
+    got = dataset.split_rows(rows)
+    assert sorted(r.article_id for r in got.collect()) == [0, 1, 2, 4] and sum(dataset.split_counts(got).first()) == 4
+    assert list(dataset.split_counts(got.limit(0)).first()) == [0, 0, 0]
+
+
+def test_label_json():
+    p = labeling.parse_label
+    assert p('{"summary":"Tin A.","key_entities":["VN"],"confidence":0.9,"refusal_reason":null}')["confidence"] == 0.9
+    assert p('{"summary":"X.","key_entities":[],"confidence":95.0}')["confidence"] == 1.0
+    assert p('{"summary":null,"key_entities":[],"confidence":0.0,"refusal_reason":"not news"}')["summary"] == ""
+    assert p('{"summary":"a\nb","key_entities":[],"confidence":"0.9"}')["error"] is None
+    for bad in ("not json", "```json\n{}\n```", "[1]", None, '{"summary":5,"confidence":0.1}', '{"summary":"A","key_entities":null}', '{"summary":"A","confidence":-0.1}', '{"summary":"A","confidence":"95"}', '{"summary":"A","confidence":NaN}', '{"confidence":0.5}'):
+        assert p(bad)["error"]
+
+
+def test_prompt(spark):
+    cut = lambda c: labeling.truncated(c, 20)
+    got = each(spark, cut, ["Đây là một câu rất dài cần phải cắt bớt cho vừa", "ngắn", "x" * 30])
+    assert got[0].endswith(" [...]") and len(got[0]) < 30 and got[1] == "ngắn" and got[2] == "x" * 20 + " [...]"
+    prompt = each(spark, lambda c: labeling.render_prompt(F.lit("T"), F.lit(None).cast("string"), F.lit("S"), c), ["từ " * 3000])[0]
+    assert "[...]" in prompt and len(prompt) < 7000 and prompt.startswith("Tiêu đề: T\nChuyên mục: \nNguồn: S\n")
+
+
+def test_qc(spark):
+    rows = [(1, "một hai ba bốn năm sáu bảy tám chín mười", "nguồn", None), (2, "Có 99 người.", "nguồn", "not news"), (3, None, None, None), (4, "Ông Trần Quốc nói. " + "từ " * 45 + "hết.", "ông trần quốc", None)]
+    got = {r.article_id: r for r in qc.run_qc(spark.createDataFrame(rows, "article_id bigint, summary string, source_text string, refusal_reason string")).collect()}
+    assert got[1].qc_details.reasons == ["too_short:10<40", "too_few_sentences:1<2"] and not got[1].qc_passed
+    assert got[2].qc_details.reasons[0] == "llm_refusal:not news" and got[2].qc_details.missing_numbers == ["99"]
+    assert got[3].qc_details.word_count == 0 and got[4].qc_details.sentence_count == 2
+
+
+def test_label_rows(spark):
+    def answer(system, user):
+        if "boom" in user:
+            raise labeling.LabelError("no luck")
+        return json.dumps({"summary": " Tin. ", "key_entities": ["A"], "confidence": 0.9, "refusal_reason": None}) if "bad" not in user else "nope"
+
+    rows = spark.createDataFrame([(1, "t", None, "s", "good text"), (2, "t", None, "s", "bad"), (3, "t", None, "s", "boom"), (4, None, None, None, None)], "article_id bigint, title string, category string, source string, content_text string")
+    got = {r.article_id: r for r in labeling.label_rows(rows, answer).collect()}
+    assert got[1].summary == "Tin." and got[1].prompt_version == "1.2.0" and got[1].qc_details.reasons == ["too_short:1<40", "too_few_sentences:1<2"]
+    assert got[2].qc_details.reasons[0].startswith("label_error:LLM did not return") and got[2].summary == "" and not got[2].qc_passed
+    assert got[3].qc_details.reasons == ["label_error:no luck"] and got[3].refusal_reason == "no luck" and got[3].qc_details.word_count is None
+    assert labeling.label_rows(rows, answer, limit=2).count() == 2
+
+
+def test_rotating_labeler():
+    seen = []
+
+    def call(model, key, system, user):
+        seen.append((model, key))
+        if model == "m1" and key == "k1":
+            raise RuntimeError("429 quota")
+        if model == "m1":
+            raise RuntimeError("model not found")
+        return "ok"
+
+    lab = labeling.RotatingLabeler(call, ["k1", "k2"], ["m1", "m2"], sleep=lambda s: None)
+    assert lab("s", "u") == "ok" and seen == [("m1", "k1"), ("m1", "k2"), ("m2", "k2")]
+    waits = []
+    with pytest.raises(labeling.TransientLabelError):
+        labeling.RotatingLabeler(lambda *a: (_ for _ in ()).throw(RuntimeError("503 unavailable")), ["k"], ["m"], sleep=waits.append)("s", "u")
+    assert waits == [2, 4, 8, 16, 32]
+    with pytest.raises(labeling.LabelError):
+        labeling.RotatingLabeler(lambda *a: None, ["k"], ["m"])("s", "u")
+    assert labeling.api_keys({"GEMINI_API_KEYS": "key1, key2, key3"}) == ["key1", "key2", "key3"] and labeling.api_keys({"GEMINI_API_KEY": "k"}) == ["k"]
+    with pytest.raises(ValueError, match="key"):
+        labeling.api_keys({})
+
+
+RSS = """<rss><channel><item><link>https://vnexpress.net/bai-1.html?utm_source=fb</link><title>  Tin A  </title><pubDate>Mon, 01 Jan 2024 10:00:00 +0700</pubDate><category>thời sự</category><author>NVA</author></item>
+<item><title>no link</title></item><item><link>https://vnexpress.net/the-thao/b.html</link><title>B</title></item></channel></rss>"""
+ATOM = '<feed xmlns="http://www.w3.org/2005/Atom"><entry><title>C</title><link href="https://tuoitre.vn/c.html"/><updated>2024-01-01T00:00:00Z</updated></entry></feed>'
+
+
+def article(words, seed):
+    return "<html lang='vi'><title>T</title><body><nav>skip</nav><article><p>" + " ".join(f"w{seed}{k}" for k in range(words)) + "</p></article></body></html>"
+
+
+def test_crawl(spark):
+    conf = feeds.sources(spark)
+    assert conf.count() == 8 and feeds.enabled_sources(conf).count() == 7 and feeds.feed_urls(conf).count() == 62 and feeds.feed_urls(feeds.enabled_sources(conf)).count() == 54
+    assert feeds.enabled_sources(conf, {"laodong"}).count() == 0 and feeds.enabled_sources(conf, {"vnexpress"}).count() == 1 and feeds.enabled_sources(conf, set()).count() == 7
+    bodies = spark.createDataFrame([("vnexpress", 0, RSS), ("tuoitre", 0, ATOM), ("tuoitre", 1, RSS), ("dantri", 0, "<broken"), ("znews", 0, None)], "source string, feed_pos int, body string")
+    found = crawl.candidates(feeds.parse_feeds(bodies), conf)
+    rows = found.orderBy("source_pos", "feed_pos", "entry_pos").collect()
+    assert [(r.source, r.url, r.title, r.category) for r in rows[:2]] == [("vnexpress", "https://vnexpress.net/bai-1.html", "Tin A", "thoi_su"), ("vnexpress", "https://vnexpress.net/the-thao/b.html", "B", "the_thao")]
+    assert len(rows) == 5 and rows[0].published_at.isoformat() == "2024-01-01T03:00:00" and rows[2].published_at is None
+    pages = spark.createDataFrame([("https://vnexpress.net/bai-1.html", article(80, "a"), None), ("https://vnexpress.net/the-thao/b.html", None, "timeout"), ("https://tuoitre.vn/c.html", article(80, "a") + "<!-- -->", None)], "url string, html string, error string")
+    got, outcomes = crawl.crawl(found, pages)
+    assert [(r.article_id, r.url) for r in got.collect()] == [(1, "https://vnexpress.net/bai-1.html")] and crawl.to_record(got).first().published_at == "2024-01-01T03:00:00+00:00"
+    stats = {r.source: r for r in crawl.crawl_stats(outcomes, conf).collect()}
+    assert len(stats) == 7 and stats["znews"].discovered == 0 and stats["znews"].errors == []
+    assert (stats["vnexpress"].discovered, stats["vnexpress"].fetched, stats["vnexpress"].fetch_failed, stats["vnexpress"].errors) == (2, 1, 1, ["timeout"])
+    assert (stats["tuoitre"].discovered, stats["tuoitre"].fetched, stats["tuoitre"].skipped_duplicate) == (3, 1, 3)
+    assert crawl.crawl(found, pages, limit=0)[0].count() == 0
+    capped = crawl.candidates(feeds.parse_feeds(bodies), conf.withColumn("max_items_per_feed", F.lit(1)))
+    assert capped.groupBy("source", "feed_pos").count().where("count > 1").count() == 0
+
+
+def test_robots(spark):
+    rows = spark.createDataFrame([("https://a.com/x",), ("https://a.com/private/y",), ("https://b.com/private",), ("nohost",)], "url string")
+    robots = spark.createDataFrame([("a.com", "User-agent: *\nDisallow: /private")], "host string, body string")
+    assert {r.url: r.allowed for r in crawl.with_robots(rows, robots).collect()} == {"https://a.com/x": True, "https://a.com/private/y": False, "https://b.com/private": True, "nohost": False}
+
+
+def test_html():
+    assert extract(article(60, "z"))["content_text"].startswith("wz0 wz1") and "skip" not in extract(article(60, "z"))["content_text"]
+    assert extract("<body><p>" + "w " * 60 + "</p></body>")["content_text"] == " ".join(["w"] * 60)
+    assert extract("<p>short</p>")["content_text"] is None is extract(None)["content_text"] and extract(article(1, "z"))["language"] == "vi"
+
+
+def test_rouge(spark):
+    pairs = spark.createDataFrame([(1, "the cat sat", "the cat ran fast"), (2, "", "x"), (3, "same words here", "same words here"), (4, None, None)], "id int, prediction string, reference string")
+    assert {r.id: r.f for r in rouge.rouge_n(pairs, 1).collect()} == pytest.approx({1: 4 / 7, 2: 0, 3: 1, 4: 0})
+    assert {r.id: r.f for r in rouge.rouge_n(pairs, 2).collect()} == pytest.approx({1: 2 / 5, 2: 0, 3: 1, 4: 0})
+    assert {r.id: r.f for r in rouge.rouge_l(pairs).collect()} == pytest.approx({1: 4 / 7, 2: 0, 3: 1, 4: 0})
+    assert rouge.common_length(list("ABCBDAB"), list("BDCABA")) == 4 and rouge.mean_f(rouge.rouge_n(pairs.limit(0), 1), "m").first().m == 0
+
+
+def test_summarizer_skips_blanks(spark):
+    def load():
+        def model(texts):
+            assert all(t.strip() for t in texts) and len(texts) <= 4
+            return [t.upper() for t in texts]
+
+        return model
+
+    cases(spark, summarize.summarizer(load), {"a": "A", " ": "", None: "", "b": "B", "c": "C", "d": "D", "e": "E"})
+    assert summarize.leading_sentences(["A b c. A b d. X y z. A b c d.", ""])[1] == ""
+
+
+def test_jsonl_and_cli(spark, tmp_path, monkeypatch):
+    monkeypatch.chdir(tmp_path)
+    rows = spark.createDataFrame([(i, "s", None, "x", "y") for i in range(30)], "article_id bigint, source string, category string, content_text string, summary string")
+    jsonl.write_jsonl(rows, str(tmp_path / "in.jsonl"))
+    assert '"category":null' in next((tmp_path / "in.jsonl").glob("part-*")).read_text()
+    assert cli.main(["split", "--input", str(tmp_path / "in.jsonl"), "--output", str(tmp_path / "out")], spark) == 0
+    assert sum(jsonl.read_jsonl(spark, str(tmp_path / "out" / s), cli.ARTICLES).count() for s in ("train", "val", "test")) == 30
+    assert cli.main(["split", "--input", str(tmp_path / "in.jsonl"), "--output", str(tmp_path / "o2"), "--check-v2-counts"], spark) == 1
+    assert [cli.valid_output(p) for p in ("data.jsonl", "data_x.jsonl", "a/data.jsonl", "data.txt", "x.jsonl")] == [True, True, False, False, False]
+    assert cli.main(["crawl", "--output", "x/y", "--feeds", "f", "--pages", "p"], spark) == 2
+
+
+def test_streaming(spark, tmp_path):
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet").select(F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type")
+    events.write.parquet(str(tmp_path / "e"))
+    stream = spark.readStream.schema(events.schema).parquet(str(tmp_path / "e"))
+    for name, df in (("first", dedupe.first_by_key(stream, ["user_id"], "ts", "1000 days")), ("counts", dedupe.windowed_counts(stream, "ts", "1 hour", "event_type"))):
+        q = df.writeStream.outputMode("append" if name == "first" else "update").format("memory").queryName(name).start()
+        q.processAllAvailable()
+        q.stop()
+    assert spark.table("first").count() == events.select("user_id").distinct().count()
+    assert spark.table("counts").agg(F.sum("n")).first()[0] == events.count()
