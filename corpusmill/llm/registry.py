@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.llm import chat, licences, mixing, packing, pstable, quality, repeats, simhash, toxicity, warc
-from corpusmill.sources.store import table
+from corpusmill.sources.store import spread, table
 
 
 def tokenizer_path() -> str:
@@ -20,16 +20,16 @@ def op1_packing(spark: SparkSession, d: str) -> DataFrame:
 
 
 def op2_repeats(spark: SparkSession, d: str) -> DataFrame:
-    return repeats.remove_repeats(table(spark, d, "documents"))
+    return repeats.remove_repeats(spread(table(spark, d, "documents")))
 
 
 def op3_simhash(spark: SparkSession, d: str) -> DataFrame:
-    groups = simhash.near_duplicates(table(spark, d, "documents"), words=3)
+    groups = simhash.near_duplicates(spread(table(spark, d, "documents")), words=3)
     return groups.select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
 
 
 def op4_quality(spark: SparkSession, d: str) -> DataFrame:
-    return quality.quality(table(spark, d, "documents"), table(spark, d, "labels"))
+    return quality.quality(spread(table(spark, d, "documents")), table(spark, d, "labels"))
 
 
 def op5_chat(spark: SparkSession, d: str) -> DataFrame:
@@ -41,7 +41,7 @@ def op6_mixing(spark: SparkSession, d: str) -> DataFrame:
 
 
 def op7_licences(spark: SparkSession, d: str) -> DataFrame:
-    return licences.scan_licences(table(spark, d, "documents"))
+    return licences.scan_licences(spread(table(spark, d, "documents")))
 
 
 def op8_embeddings(spark: SparkSession, d: str) -> DataFrame:
@@ -49,7 +49,7 @@ def op8_embeddings(spark: SparkSession, d: str) -> DataFrame:
 
 
 def op9_toxicity(spark: SparkSession, d: str) -> DataFrame:
-    return toxicity.toxicity(table(spark, d, "documents"), table(spark, d, "labels")).select("doc_id", "severity", "toxic")
+    return toxicity.toxicity(spread(table(spark, d, "documents")), table(spark, d, "labels")).select("doc_id", "severity", "toxic")
 
 
 def op10_warc(spark: SparkSession, d: str) -> DataFrame:
