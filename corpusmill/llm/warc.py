@@ -143,7 +143,12 @@ def read_records(stream) -> Iterator[bytes]:
 
 def train_dictionary(pages: DataFrame) -> bytes:
     """A dictionary from the beginnings of at most SAMPLE_PAGES pages, chosen by hash; empty if they are too few."""
-    rows = pages.where("html <> ''").select(F.substring("html", 1, SAMPLE_BYTES).alias("h"), F.xxhash64("page_id", "html").alias("k")).orderBy("k").limit(SAMPLE_PAGES).collect()
+    keyed = pages.withColumn("k", F.xxhash64("page_id", "url"))
+    # The keys alone are sorted out first, so that tasks do not send pages that are not chosen.
+    most = keyed.select("k").orderBy("k").limit(SAMPLE_PAGES).agg(F.max("k")).first()[0]
+    if most is None:
+        return b""
+    rows = sorted(keyed.where(F.col("k") <= most).where("html <> ''").select("k", F.substring("html", 1, SAMPLE_BYTES).alias("h")).limit(2 * SAMPLE_PAGES).collect())
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, [r.h.encode() for r in rows]).as_bytes()
     except zstandard.ZstdError:
