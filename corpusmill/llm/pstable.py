@@ -6,14 +6,18 @@ goes to one bucket in each of `tables` tables. For unit vectors a cosine of c is
 distance of sqrt(2 - 2c), so near vectors share cells more often than others. All pairs
 that share a bucket are then compared by cosine in double precision.
 
-With the defaults a pair at cosine 0.95 (distance 0.316) keeps one cell with probability
-0.874 and is missed by every table with probability 0.0014; at 0.97 with 2e-5; unrelated
-vectors (distance 1.41) meet in a table with probability 4e-5.
+The number of directions grows with the logarithm of the number of vectors, so that
+unrelated ones (at distance 1.41 they keep a cell with probability 0.486) rarely share a
+bucket at any size, and the number of tables grows with it, so that a pair at the least
+cosine is missed by all tables with probability `miss`; nearer pairs are missed far less.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import lru_cache
+from math import ceil, erfc, exp, log, pi, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -30,20 +34,61 @@ SEED = 8191
 STRIPE = 64
 
 
+def keeps_cell(distance: float, width: float) -> float:
+    """The probability that two vectors at a distance fall into one cell of a projection."""
+    r = width / distance
+    return 1 - erfc(r / sqrt(2)) - 2 / (sqrt(2 * pi) * r) * (1 - exp(-r * r / 2))
+
+
+@dataclass(frozen=True)
+class Tables:
+    """How many tables and directions there are, and how wide a cell is."""
+
+    tables: int
+    directions: int
+    width: float
+
+    @classmethod
+    def for_vectors(cls, n: int, least: float, miss: float, width: float) -> Tables:
+        directions = ceil(log(4 * max(n, 100)) / -log(keeps_cell(sqrt(2), width)))
+        together = keeps_cell(sqrt(max(2 - 2 * least, 1e-6)), width) ** directions
+        return cls(ceil(log(miss) / log(1 - together)), directions, width)
+
+    def keys(self, unit: np.ndarray, first: int | None = None) -> np.ndarray:
+        """The 32-bit bucket of each unit vector in each table, or in the first ones: int32 array (vectors, tables)."""
+        n = self.tables if first is None else first
+        a, shift, mult = projections(unit.shape[1], self.tables, self.directions, self.width)
+        used = n * self.directions
+        cells = np.floor((unit @ a[:, :used] + shift[:used]) / self.width).astype(np.int64).astype(np.uint64).reshape(len(unit), n, self.directions)
+        h = (cells * mult[:n]).sum(axis=2, dtype=np.uint64)
+        h ^= h >> np.uint64(32)
+        h *= np.uint64(0x9E3779B97F4A7C15)
+        return (h >> np.uint64(32)).astype(np.uint32).view(np.int32)
+
+
+@lru_cache(maxsize=4)
 def projections(dim: int, tables: int, directions: int, width: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Directions (dim, tables * directions), shifts, and odd multipliers that hash cells."""
+    """Directions (dim, tables * directions), shifts, and odd multipliers that hash cells; fixed by a seed."""
     rng = np.random.default_rng([SEED, dim])
     return rng.standard_normal((dim, tables * directions)), rng.uniform(0, width, tables * directions), rng.integers(0, 2**63, (tables, directions), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def bucket_keys(unit: np.ndarray, tables: int, directions: int, width: float) -> np.ndarray:
-    """The 32-bit bucket of each unit vector in each table: int32 array (vectors, tables)."""
-    a, shift, mult = projections(unit.shape[1], tables, directions, width)
-    cells = np.floor((unit @ a + shift) / width).astype(np.int64).astype(np.uint64).reshape(len(unit), tables, directions)
-    h = (cells * mult).sum(axis=2, dtype=np.uint64)
-    h ^= h >> np.uint64(32)
-    h *= np.uint64(0x9E3779B97F4A7C15)
-    return (h >> np.uint64(32)).astype(np.uint32).view(np.int32)
+def units(vectors: np.ndarray) -> np.ndarray:
+    """Vectors at length one, in double precision; squares of huge or tiny components stay finite."""
+    v = vectors / np.abs(vectors).max(axis=1, keepdims=True)
+    return v / np.linalg.norm(v, axis=1, keepdims=True)
+
+
+def by_length(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Row numbers and vectors of a list column, at most 512 of one length at a time."""
+    lengths = np.diff(column.offsets.to_numpy())
+    flat = column.flatten().to_numpy(zero_copy_only=False)
+    starts = np.cumsum(lengths) - lengths
+    for dim in np.unique(lengths).tolist():
+        pick = np.flatnonzero(lengths == dim)
+        for at in range(0, len(pick), 512):
+            rows = pick[at : at + 512]
+            yield rows, flat[starts[rows][:, None] + np.arange(dim)].astype(np.float64)
 
 
 def can_link() -> Column:
@@ -53,14 +98,17 @@ def can_link() -> Column:
     return F.coalesce(finite & F.exists(e, lambda x: F.coalesce(x != 0, F.lit(False))), F.lit(False))
 
 
-def compare(unit: np.ndarray, keys: np.ndarray, weight: np.ndarray, left: np.ndarray, right: np.ndarray, table: int, least: float) -> tuple[np.ndarray, list[tuple[int, int]]]:
+def compare(unit: np.ndarray, weight: np.ndarray, left: np.ndarray, right: np.ndarray, table: int, least: float, layout: Tables) -> tuple[np.ndarray, list[tuple[int, int]]]:
     """Links between rows `left` and rows `right` of a group, seen first in this table.
 
-    A pair that shares a bucket of an earlier table was counted there. Returns the weight
-    of the partners of each row, and star edges. left is right: each pair once.
+    A pair that shares a bucket of an earlier table was counted there; only rows that have a
+    partner get their buckets worked out. Returns the weight of the partners of each row, and
+    star edges. left is right: each pair once.
     """
     partners, forest = np.zeros(len(unit), dtype=np.int64), Forest(len(unit))
     same = left is right
+    keys = np.zeros((len(unit), 0), dtype=np.int32)
+    known = np.zeros(len(unit), dtype=bool)
     for at in range(0, len(left), STRIPE):
         rows = left[at : at + STRIPE]
         x, y = np.nonzero(unit[rows] @ unit[right].T >= least)
@@ -68,8 +116,15 @@ def compare(unit: np.ndarray, keys: np.ndarray, weight: np.ndarray, left: np.nda
             x, y = x[(late := y > x + at)], y[late]
         x, y = rows[x], right[y]
         if table and len(x):
-            new = ~(keys[x, :table] == keys[y, :table]).any(axis=1)
-            x, y = x[new], y[new]
+            if not keys.shape[1]:
+                keys = np.zeros((len(unit), table), dtype=np.int32)
+            new = np.unique(np.concatenate([x, y]))
+            new = new[~known[new]]
+            for k in range(0, len(new), 256):
+                keys[new[k : k + 256]] = layout.keys(unit[new[k : k + 256]], table)
+            known[new] = True
+            fresh = np.concatenate([~(keys[x[k : k + 65536]] == keys[y[k : k + 65536]]).any(axis=1) for k in range(0, len(x), 65536)])
+            x, y = x[fresh], y[fresh]
         np.add.at(partners, x, weight[y])
         np.add.at(partners, y, weight[x])
         for p, q in zip(x.tolist(), y.tolist(), strict=True):
@@ -77,7 +132,7 @@ def compare(unit: np.ndarray, keys: np.ndarray, weight: np.ndarray, left: np.nda
     return partners, forest.stars()
 
 
-def embedding_links(vectors: DataFrame, least: float = 0.95, tables: int = 40, directions: int = 14, width: float = 2.0, cap: int = 2048) -> DataFrame:
+def embedding_links(vectors: DataFrame, least: float = 0.95, miss: float = 0.001, width: float = 2.0, cap: int = 2048) -> DataFrame:
     """Cosine links among vectors: vec_id, n_links, component_id, kept, one row per row of vectors.
 
     vectors: vec_id, embedding and any others, which are ignored. Vectors that are null,
@@ -90,45 +145,34 @@ def embedding_links(vectors: DataFrame, least: float = 0.95, tables: int = 40, d
     """
     base = vectors.select("vec_id", "embedding")
     # Equal vectors are one node from here on; -0.0 and 0.0 are made equal first.
-    clean = base.where(can_link()).withColumn("embedding", F.transform(F.col("embedding").cast("array<double>"), lambda x: x + F.lit(0.0))).withColumn("node", F.xxhash64("embedding"))
+    zero = F.lit(0.0).cast(dict(base.dtypes)["embedding"].removeprefix("array<").removesuffix(">"))
+    clean = base.where(can_link()).withColumn("embedding", F.transform("embedding", lambda x: x + zero)).withColumn("node", F.xxhash64("embedding"))
     node_of, _ = written(clean.groupBy("node").agg(F.count("*").alias("copies"), F.min("vec_id").alias("first_id"), F.first("embedding").alias("embedding")), "vectors")
 
+    layout = Tables.for_vectors(node_of.count(), least, miss, width)
+    tables = np.arange(layout.tables, dtype=np.int32)
+
     def bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            emb = b.column(2)
-            lengths = np.diff(emb.offsets.to_numpy())
-            flat = emb.flatten().to_numpy(zero_copy_only=False)
-            starts = np.cumsum(lengths) - lengths
-            for dim in np.unique(lengths).tolist():
-                pick = np.flatnonzero(lengths == dim)
-                for at in range(0, len(pick), 512):
-                    rows = pick[at : at + 512]
-                    v = flat[starts[rows][:, None] + np.arange(dim)]
-                    v = v / np.abs(v).max(axis=1, keepdims=True)  # squares of huge or tiny components stay finite
-                    v /= np.linalg.norm(v, axis=1, keepdims=True)
-                    keys = bucket_keys(v, tables, directions, width)
-                    take = pa.array(np.repeat(rows, tables))
-                    n = len(take)
-                    unit = pa.array([r.tobytes() for r in v], pa.binary()).take(pa.array(np.repeat(np.arange(len(rows)), tables)))
-                    packed = pa.array([r.tobytes() for r in keys], pa.binary()).take(pa.array(np.repeat(np.arange(len(rows)), tables)))
-                    yield pa.RecordBatch.from_arrays(
-                        [b.column(0).take(take), b.column(1).take(take), unit, packed, pa.array(np.tile(np.arange(tables, dtype=np.int32), len(rows))), pa.array(keys.ravel()), pa.array(np.full(n, dim, dtype=np.int32))],
-                        names=["node", "copies", "unit", "keys", "tbl", "bucket", "dim"],
-                    )
+            for rows, v in by_length(b.column(1)):
+                keys = layout.keys(units(v))
+                node = b.column(0).take(pa.array(np.repeat(rows, len(tables))))
+                n = len(node)
+                yield pa.RecordBatch.from_arrays([node, pa.array(np.full(n, v.shape[1], dtype=np.int32)), pa.array(np.tile(tables, len(rows))), pa.array(keys.ravel())], names=["node", "dim", "tbl", "bucket"])
 
     keys = ["dim", "tbl", "bucket", "block_i", "block_j"]
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, bounds in groups(batches, keys):
-            node, copies, block, bi, bj, tbl = (t.column(c).to_numpy() for c in ("node", "copies", "block", "block_i", "block_j", "tbl"))
-            units, packed = t.column("unit").to_pylist(), t.column("keys").to_pylist()
+            node, copies, block, bi, bj, tbl, dims = (t.column(c).to_numpy() for c in ("node", "copies", "block", "block_i", "block_j", "tbl", "dim"))
+            flat = t.column("embedding").combine_chunks().flatten().to_numpy(zero_copy_only=False)
+            place = np.concatenate(([0], np.cumsum(dims, dtype=np.int64)))
             us, vs, ns = [], [], []
             for a, z in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-                unit = np.frombuffer(b"".join(units[a:z])).reshape(z - a, -1)
-                code = np.frombuffer(b"".join(packed[a:z]), dtype=np.int32).reshape(z - a, -1)
+                unit = units(flat[place[a] : place[z]].astype(np.float64).reshape(z - a, -1))
                 every = np.arange(z - a)
                 left, right = (every, None) if bi[a] == bj[a] else (every[block[a:z] == bi[a]], every[block[a:z] == bj[a]])
-                partners, stars = compare(unit, code, copies[a:z], left, left if right is None else right, int(tbl[a]), least)
+                partners, stars = compare(unit, copies[a:z], left, left if right is None else right, int(tbl[a]), least, layout)
                 up = dict(stars)
                 for x in np.flatnonzero(partners).tolist():
                     us.append(node[a + x])
@@ -136,8 +180,10 @@ def embedding_links(vectors: DataFrame, least: float = 0.95, tables: int = 40, d
                     ns.append(partners[x])
             yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64()), pa.array(ns, pa.int64())], names=["u", "v", "n"])
 
-    dealt = node_of.select("node", "copies", "embedding").mapInArrow(bucket, "node bigint, copies bigint, unit binary, keys binary, tbl int, bucket int, dim int")
-    dealt = grouped(in_blocks(dealt, ["dim", "tbl", "bucket"], "node", cap), keys)
+    rows = node_of.select("node", "embedding").mapInArrow(bucket, "node bigint, dim int, tbl int, bucket int")
+    # Vectors join when buckets of one row are gone.
+    dealt = in_blocks(rows, ["dim", "tbl", "bucket"], "node", cap).join(node_of.select("node", "copies", "embedding"), "node")
+    dealt = grouped(dealt, keys)
     found, _ = written(dealt.mapInArrow(check, "u bigint, v bigint, n bigint"), "cosine-links")
     root_of = components(found.select("u", "v"))
     counts = found.groupBy(F.col("u").alias("node")).agg(F.sum("n").alias("n"))
