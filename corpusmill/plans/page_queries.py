@@ -122,7 +122,6 @@ ORACLE_SQL = {
     "category_from_url": r"SELECT page_id, lower(replace(nullif(regexp_extract(url, '^[^/]*//[^/]*/(?:/)?([\p{L}\p{N}_\-]+)/', 1), ''), '-', '_')) AS category FROM pages",
     "canonical_category": f"SELECT id, {CATEGORY} AS category FROM {values(RAW)} t(id, raw)",
     "rfc2822_dates": f"SELECT id, strftime(try_strptime(CASE WHEN raw LIKE '%GMT' THEN replace(raw, 'GMT', '+0000') ELSE raw END, ['%a, %d %b %Y %H:%M:%S %z', '%d %b %Y %H:%M:%S %z'])::TIMESTAMPTZ AT TIME ZONE 'UTC', '%Y-%m-%d %H:%M:%S') AS utc FROM {values(DATES)} t(id, raw)",
-    "crawl_limit": "SELECT 5::BIGINT AS n, 5::BIGINT AS last",
     "crawl_discovered": f"""
         WITH u AS (SELECT p.page_id, c.url, ({NAMES})[p.page_id % 7 + 1] AS source, p.page_id % 7 AS pos FROM pages p JOIN {URLS} c USING (page_id)),
         f AS (SELECT *, row_number() OVER (PARTITION BY url ORDER BY pos, page_id) = 1 AS is_first, min(page_id) OVER (PARTITION BY url) AS i FROM u)
