@@ -11,6 +11,7 @@ from corpusmill.functions import dates, text, urls
 from corpusmill.functions.html import extract
 from corpusmill.functions.splits import first_hash_byte, split_bucket
 from corpusmill.operators import crawl, dataset, labeling, near_dup, qc, rouge, summarize
+from corpusmill.plans import page_queries, text_queries
 from corpusmill.sources import feeds, jsonl
 from corpusmill.sources.store import importable
 from corpusmill.streaming import dedupe
@@ -209,6 +210,27 @@ def test_crawl(spark):
     assert capped.groupBy("source", "feed_pos").count().where("count > 1").count() == 0
 
 
+def test_crawl_queries_take_every_page(spark, tmp_path):
+    n = 7 * 120
+    rows = [(k, f"https://h{k}.com/a/{k}", article(60, f"p{k}x")) for k in range(n)]
+    spark.createDataFrame(rows, "page_id bigint, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    stats = page_queries.q_crawl_stats(spark, str(tmp_path)).collect()
+    assert sorted(r.discovered for r in stats) == [120] * 7 and sum(r.fetched for r in stats) == n
+    assert sum(r.fetch_failed + r.errors for r in stats) == 0
+    assert [sum(r[c] for r in page_queries.q_crawl_discovered(spark, str(tmp_path)).collect()) for c in ("discovered", "fetch_failed")] == [n, n // 10]
+
+
+def test_feed_cap_and_fetch_errors(spark):
+    conf = feeds.sources(spark).withColumn("max_items_per_feed", F.when(F.col("id") == "tuoitre", 2))
+    items = "".join(f"<item><link>https://a.com/{{0}}{k}</link><title>T</title></item>" for k in range(3))
+    bodies = spark.createDataFrame([(s, f, f"<rss><channel>{items.format(f'{s}{f}')}</channel></rss>") for s in ("tuoitre", "vnexpress") for f in (0, 1)], "source string, feed_pos int, body string")
+    found = crawl.candidates(feeds.parse_feeds(bodies), conf)
+    assert {(r.source, r.feed_pos): r["count"] for r in found.groupBy("source", "feed_pos").count().collect()} == {("tuoitre", 0): 2, ("tuoitre", 1): 2, ("vnexpress", 0): 3, ("vnexpress", 1): 3}
+    pages = found.select("url", F.lit(article(60, "f")).alias("html"), F.when(F.col("source") == "tuoitre", "timeout").alias("error"))
+    stats = {r.source: r for r in crawl.crawl_stats(crawl.crawl(found, pages)[1], conf).collect()}
+    assert (stats["tuoitre"].fetch_failed, stats["tuoitre"].errors, stats["vnexpress"].fetched) == (4, ["timeout"] * 4, 6)
+
+
 def test_robots(spark):
     rows = spark.createDataFrame([("https://a.com/x",), ("https://a.com/private/y",), ("https://b.com/private",), ("nohost",)], "url string")
     robots = spark.createDataFrame([("a.com", "User-agent: *\nDisallow: /private")], "host string, body string")
