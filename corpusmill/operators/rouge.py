@@ -27,7 +27,9 @@ def f_measure(overlap: Column, predicted: Column, wanted: Column) -> Column:
 
 def rouge_n(pairs: DataFrame, n: int, tokenizer: str = "ascii") -> DataFrame:
     """pairs(id, prediction, reference) to id, f: overlap of n-grams, each counted as often as both have it."""
-    sides = pairs.select("id", F.explode(F.array(F.struct(F.lit(0).alias("side"), grams(tokens(F.col("prediction"), tokenizer), n).alias("g")), F.struct(F.lit(1).alias("side"), grams(tokens(F.col("reference"), tokenizer), n).alias("g")))).alias("s"))
+    # Words in columns of their own: within grams they would be found anew for every gram.
+    words = pairs.select("id", tokens(F.col("prediction"), tokenizer).alias("p"), tokens(F.col("reference"), tokenizer).alias("r"))
+    sides = words.select("id", F.explode(F.array(F.struct(F.lit(0).alias("side"), grams(F.col("p"), n).alias("g")), F.struct(F.lit(1).alias("side"), grams(F.col("r"), n).alias("g")))).alias("s"))
     counts = sides.select("id", "s.side", F.explode("s.g").alias("gram")).groupBy("id", "gram").agg(F.count_if(F.col("side") == 0).alias("p"), F.count_if(F.col("side") == 1).alias("r"))
     sums = counts.groupBy("id").agg(F.sum(F.least("p", "r")).alias("o"), F.sum("p").alias("p"), F.sum("r").alias("r"))
     return pairs.select("id").join(sums, "id", "left").select("id", F.coalesce(f_measure(F.col("o"), F.col("p"), F.col("r")), F.lit(0.0)).alias("f"))

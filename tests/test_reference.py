@@ -2,6 +2,9 @@
 
 import itertools
 import json
+import random
+import re
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -251,6 +254,33 @@ def test_rouge(spark):
     assert rouge.common_length(list("ABCBDAB"), list("BDCABA")) == 4 and rouge.mean_f(rouge.rouge_n(pairs.limit(0), 1), "m").first().m == 0
 
 
+def test_rouge_queries_read_whole_texts(spark, tmp_path):
+    rng = random.Random(3)
+    texts = [" ".join(rng.choice("abcdefgh") * rng.randint(1, 3) for _ in range(n)) for n in (900, 301, 40, 1)] + ["x" * 400 + " a b c", "", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+
+    def sides(t):
+        return [re.findall("[a-z0-9]+", (t or "")[a:b]) for a, b in ((0, len(t or "") // 2), (len(t or "") // 2, None))]
+
+    def longest(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            row = [0, *itertools.accumulate(range(len(b)), lambda left, j, row=row, x=x: row[j] + 1 if x == b[j] else max(left, row[j + 1]), initial=0)][1:]
+        return row[-1]
+
+    def f(common, a, b):
+        return 2 * common / (len(a) + len(b)) if common else 0
+
+    def of_grams(t, n):
+        a, b = (list(zip(*(w[k:] for k in range(n)))) for w in sides(t))  # noqa: B905
+        return f(sum((Counter(a) & Counter(b)).values()), a, b)
+
+    got = {r.id: r.f for r in text_queries.q_rouge_l(spark, str(tmp_path)).collect()}
+    assert got == pytest.approx({k: f(longest(*sides(t)), *sides(t)) for k, t in enumerate(texts)}, abs=1e-8)
+    for n, q in ((1, text_queries.q_rouge1_full), (2, text_queries.q_rouge2_full)):
+        assert q(spark, str(tmp_path)).first()[0] == pytest.approx(sum(of_grams(t, n) for t in texts) / len(texts), abs=1e-8)
+
+
 def test_summarizer_skips_blanks(spark):
     def load():
         def model(texts):
