@@ -13,10 +13,11 @@ from corpusmill.llm import mixing, packing, repeats, simhash, toxicity
 from corpusmill.llm.registry import tokenizer_path
 from corpusmill.sources.store import importable, table, written
 
-#: Near-duplicates of the pipeline: five-word shingles under 256-bit fingerprints. Texts of
-#: similarity 0.8 differ in 39 of 256 bits on average and unrelated ones in 128; the radius
-#: takes the spread of the estimate in.
-NEAR = {"words": 5, "lanes": 4, "radius": 48, "similarity": 0.8}
+#: Near-duplicates of the pipeline: texts whose sets of five-word shingles have a Jaccard
+#: similarity of 0.8. Candidates come from 256-bit fingerprints: texts of that similarity differ
+#: in 39 bits on average (48 if they have 4 and 5 shingles) and unrelated ones in 128; the
+#: radius takes the spread of the estimate in.
+NEAR = {"words": 5, "lanes": 4, "radius": 72, "similarity": 0.8, "recall": 0.999, "least": 0.8}
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -11,6 +11,9 @@ shard tree would grow with the corpus, so a shard's tree and its queries meet in
 that holds the shard, and shards over a bound are cut into blocks that meet in pairs.
 For 64 bits and radius 3 the keys are the four 16-bit quarters: three differing bits leave
 a quarter untouched, so no link is lost.
+
+Where a least Jaccard similarity is asked for, components of fingerprints are candidates
+only: their texts meet again in blocks, and two link if their shingle sets are as similar.
 """
 
 from __future__ import annotations
@@ -31,6 +34,8 @@ from corpusmill.sources.store import written
 SEED = 42
 #: Rows of a shard that one task compares with each other.
 SHARD_ROWS = 2048
+#: Texts of a group of candidates that one task verifies with each other.
+VERIFY_ROWS = 512
 #: Shingles whose hashes are held before they are counted.
 HELD = 200_000
 ONES = np.uint64(0x0101010101010101)
@@ -82,8 +87,17 @@ def majority(hashes: np.ndarray, counts: np.ndarray, lanes: int) -> np.ndarray:
     return out
 
 
-def fingerprints(texts: list[bytes | None], words: int = 3, lanes: int = 1) -> np.ndarray:
-    """Fingerprints of texts: uint64 array (texts, lanes). Null texts and texts without words get zero."""
+def shingle_set(text: bytes | None, words: int) -> np.ndarray:
+    """Sorted distinct shingle hashes: uint64 array."""
+    return np.unique(np.array(shingle_hashes(text or b"", words), dtype=np.uint64))
+
+
+def fingerprints(texts: list[bytes | None], words: int = 3, lanes: int = 1, names: np.ndarray | None = None) -> np.ndarray:
+    """Fingerprints of texts: uint64 array (texts, lanes). Null texts and texts without words get zero.
+
+    With names (uint64 array of zeros), each shingle counts once, and names receives the
+    XXH64 of each text's shingle set.
+    """
     out = np.zeros((len(texts), lanes), dtype=np.uint64)
     hashes: list[int] = []
     counts: list[int] = []
@@ -97,6 +111,9 @@ def fingerprints(texts: list[bytes | None], words: int = 3, lanes: int = 1) -> n
 
     for i, text in enumerate(texts):
         if text and (found := shingle_hashes(text, words)):
+            if names is not None:
+                once = np.unique(np.array(found, dtype=np.uint64))
+                names[i], found = xxhash.xxh64_intdigest(once.tobytes()), once.tolist()
             hashes += found
             counts.append(len(found))
             rows.append(i)
@@ -106,19 +123,20 @@ def fingerprints(texts: list[bytes | None], words: int = 3, lanes: int = 1) -> n
     return out
 
 
-def fingerprinted(docs: DataFrame, words: int, lanes: int) -> DataFrame:
+def fingerprinted(docs: DataFrame, words: int, lanes: int, by_set: bool = False) -> DataFrame:
     """docs(doc_id, text) to doc_id, row_key, fp (binary, big-endian lanes), node (bigint).
 
     node identifies the fingerprint: it is the fingerprint itself for one lane, its XXH64
-    for more. row_key tells documents of one doc_id apart.
+    for more. by_set takes each shingle of a text once, and node identifies the set. row_key tells documents of one doc_id apart.
     """
     pairs = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row_key"), F.col("text").cast("binary").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = fingerprints(b.column(2).to_pylist(), words, lanes)
+            names = np.zeros(b.num_rows, dtype=np.uint64) if by_set else None
+            fp = fingerprints(b.column(2).to_pylist(), words, lanes, names)
             raw = [r.tobytes() for r in fp.astype(">u8")]
-            node = fp[:, 0] if lanes == 1 else np.array([xxhash.xxh64_intdigest(r) for r in raw], dtype=np.uint64)
+            node = names if by_set else fp[:, 0] if lanes == 1 else np.array([xxhash.xxh64_intdigest(r) for r in raw], dtype=np.uint64)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(raw, pa.binary()), pa.array(node.view(np.int64))], names=["doc_id", "row_key", "fp", "node"])
 
     return pairs.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, row_key bigint, fp binary, node bigint")
@@ -240,7 +258,52 @@ def unpacked(fps: list[bytes], lanes: int) -> np.ndarray:
     return np.frombuffer(b"".join(fps), dtype=">u8").reshape(-1, lanes).astype(np.uint64)
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, lanes: int = 1, radius: int = 3, similarity: float | None = None, recall: float = 0.95, cap: int = SHARD_ROWS) -> DataFrame:
+def similar_links(sets: list[np.ndarray], fps: np.ndarray, block: np.ndarray, i: int, j: int, radius: int, least: float) -> list[tuple[int, int]]:
+    """Star edges that span the pairs of one group whose sets have Jaccard similarity `least`.
+
+    Pairs that are connected already need no look. A group of one block compares all its
+    rows; a group of two compares across them.
+    """
+    size = np.array([len(s) for s in sets])
+    root = np.arange(len(sets))
+    for x in range(1, len(sets)):
+        apart = np.bitwise_count(fps[:x] ^ fps[x]).sum(axis=1, dtype=np.int64)
+        near = (apart <= radius) & (np.minimum(size[:x], size[x]) >= least * np.maximum(size[:x], size[x]) - 1e-9) & (root[:x] != root[x])
+        if i != j:
+            near &= block[:x] != block[x]
+        found = np.flatnonzero(near)
+        for y in found[np.argsort(apart[found], kind="stable")].tolist():
+            if root[x] == root[y]:
+                continue
+            both = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
+            if both >= least * (size[x] + size[y] - both) - 1e-9:
+                root[root == max(root[x], root[y])] = min(root[x], root[y])
+    return [(x, r) for x, r in enumerate(root.tolist()) if r != x]
+
+
+def verified(docs: DataFrame, distinct: DataFrame, candidates: DataFrame, words: int, lanes: int, radius: int, least: float, cap: int = VERIFY_ROWS) -> DataFrame:
+    """Edges u, v among the nodes of each component of candidates(node, root) whose shingle sets are similar."""
+    keyed = docs.select(F.xxhash64("doc_id", "text").alias("row_key"), F.col("text").cast("binary").alias("text"))
+    members = distinct.join(candidates, "node").select("node", "root", "fp", "row_key")
+    rows, _ = written(keyed.join(members, "row_key").drop("row_key").dropDuplicates(["node"]), "candidates")
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, bounds in groups(batches, ["root", "block_i", "block_j"]):
+            node, block = t.column("node").to_numpy(), t.column("block").to_numpy()
+            bi, bj = (t.column(c).to_pylist() for c in ("block_i", "block_j"))
+            u, v = [], []
+            for a, z in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                part = t.slice(a, z - a)
+                sets = [shingle_set(x.as_py(), words) for x in part.column("text")]
+                for x, y in similar_links(sets, unpacked(part.column("fp").to_pylist(), lanes), block[a:z], bi[a], bj[a], radius, least):
+                    u.append(node[a + x])
+                    v.append(node[a + y])
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+
+    return grouped(in_blocks(rows, ["root"], "node", cap), ["root", "block_i", "block_j"]).mapInArrow(verify, "u bigint, v bigint")
+
+
+def near_duplicates(docs: DataFrame, words: int = 5, lanes: int = 1, radius: int = 3, similarity: float | None = None, recall: float = 0.95, cap: int = SHARD_ROWS, least: float | None = None) -> DataFrame:
     """Group near copies: doc_id, row_key, fp (binary), root (bigint, one for each group), component_id.
 
     docs: doc_id, text and any others, which are ignored. component_id is the smallest
@@ -251,15 +314,18 @@ def near_duplicates(docs: DataFrame, words: int = 5, lanes: int = 1, radius: int
 
     similarity=None searches 64-bit fingerprints exactly within 3 bits. Otherwise shards are
     laid out so that texts of that similarity meet with probability `recall`, more alike ones
-    with a higher one, and `radius` decides.
+    with a higher one, and `radius` decides; with `least`, it finds candidates only, and texts
+    link if their sets of shingles have a Jaccard similarity of `least`.
     """
     if similarity is None and (lanes, radius > 3) != (1, False):
         raise ValueError("a search without a similarity is exact for one lane and radius 3 at most")
-    prints, _ = written(fingerprinted(docs, words, lanes), "fingerprints")
-    distinct, _ = written(prints.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("fp").alias("fp")), "distinct")
+    prints, _ = written(fingerprinted(docs, words, lanes, least is not None), "fingerprints")
+    distinct, _ = written(prints.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("fp").alias("fp"), F.first("row_key").alias("row_key")), "distinct")
     picks = quarters() if similarity is None else layout(distinct.count(), lanes, similarity, recall)
     root_of = components(links(distinct, lanes, radius, picks, cap))
-    rooted = distinct.join(root_of, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    if least is not None:
+        root_of = components(verified(docs, distinct, root_of, words, lanes, radius, least))
+    rooted = distinct.drop("row_key").join(root_of, "node", "left").withColumn("root", F.coalesce("root", "node"))
     smallest = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     named = rooted.join(smallest, "root").select("node", "root", "component_id")
     return prints.join(named, "node").select("doc_id", "row_key", "fp", "root", "component_id")

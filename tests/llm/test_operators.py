@@ -6,6 +6,7 @@ import re
 import zlib
 from collections import Counter
 
+import corpus_pipeline
 import numpy as np
 import pytest
 import xxhash
@@ -195,6 +196,28 @@ def test_wide_fingerprints_group_copies_of_similarity_above_08(spark):
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [4 * g for g in range(30)]
 
 
+@pytest.mark.parametrize("cap", [3, 512])
+def test_pipeline_links_are_of_jaccard_08(spark, monkeypatch, cap):
+    monkeypatch.setattr(simhash.verified, "__defaults__", (cap,))
+    rng = np.random.default_rng(12)
+    rows = []
+    for _ in range(25):
+        w = words(rng, 200).replace("a b", "ab").split()
+        for c in (0, 2, 3, 4, 5, 6, 8, 10, 12):  # from 1 to about 0.55
+            v = list(w)
+            for at in np.linspace(5, 190, c).astype(int):
+                v[at] = f"new{len(rows)}x{at}"
+            rows.append(" ".join(v))
+    rows += [rows[0], rows[0] + " " + " ".join(["same five words come again"] * 200), None, "", "a b c", "A  b c", "a b d", "p q r s t u v w", "p q r s t u v w x"]
+    docs = spark.createDataFrame([(i, t, "s") for i, t in enumerate(rows)] + [(3, rows[3], "s")], DOC)
+    sets = [{tuple(p[k : k + 5]) for k in range(max(len(p) - 4, 1))} if (p := WORD.findall((t or "").lower())) else set() for t in rows]
+    want = least_id(list(range(len(rows))), reach(len(rows), lambda a, b: sets[a] == sets[b] or 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])))
+    groups = simhash.near_duplicates(docs, **corpus_pipeline.NEAR)
+    assert {r.doc_id: r.component_id for r in groups.collect()} == dict(enumerate(want)) and 25 < len(set(want)) < len(rows) - 25
+    assert sorted(r.doc_id for r in simhash.keep_one(docs, groups).collect()) == sorted(set(want))
+    assert simhash.near_duplicates(empty(spark), **corpus_pipeline.NEAR).count() == 0
+
+
 def test_keep_one_keeps_one_of_repeated_rows(spark):
     docs = spark.createDataFrame([(1, "a b c", "s"), (1, "a b c", "s"), (2, "a b c", "s"), (None, "p q r s t u", "s"), (5, None, "s"), (6, "", "t")], DOC)
     kept = simhash.keep_one(docs, simhash.near_duplicates(docs))
