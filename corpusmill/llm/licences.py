@@ -1,7 +1,8 @@
 """Licence scan: Dice coefficient over word bigrams between texts and licence templates.
 
-A text is looked at by lines, by paragraphs (lines up to one without words) and as a whole. Each
-unit is normalised to lower-case words of letters and digits; its distinct word bigrams are
+A text is looked at by lines, by paragraphs (lines up to one without words), as a whole and, so
+that notices inside other words count, by runs of words that start and end where a template's
+bigrams occur. Each unit is normalised to lower-case words of letters and digits; its distinct word bigrams are
 compared with those of each template. A coefficient 2|A & B| / (|A| + |B|) of at least d
 bounds the sizes: |A| lies between d / (2 - d) |B| and (2 - d) / d |B|, so only templates
 of such sizes are compared.
@@ -20,6 +21,10 @@ from pyspark.sql import functions as F
 LEAST = 0.8
 WORD = re.compile(r"[^\W_]+")
 
+BSD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. "
+BSD_NAMES = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. "
+BSD_AS_IS = "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+
 # Customary wordings of licence notices.
 TEMPLATES: tuple[tuple[str, str], ...] = (
     ("MIT", "Released under the MIT License."),
@@ -41,6 +46,8 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:"),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
     ("all-rights-reserved", "All rights reserved."),
+    ("BSD-2-Clause", BSD + BSD_AS_IS),
+    ("BSD-3-Clause", BSD + BSD_NAMES + BSD_AS_IS),
 )
 
 
@@ -75,6 +82,41 @@ class Matcher:
                 found = (dice, self.names[k])
         return found
 
+    def runs(self, words: list[str], best: dict[str, float]) -> None:
+        """Raise best (by licence) to the coefficients of runs of words.
+
+        A run of the highest coefficient for a template starts and ends with one of its
+        bigrams: without another one at an end the coefficient is no lower. Runs go from each
+        place of such a bigram to later ones while its distinct bigrams keep the size bounds.
+        """
+        grams = list(zip(words, words[1:], strict=False))
+        places = [i for i, g in enumerate(grams) if g in self.any]
+        if not places:
+            return
+        for k, template in enumerate(self.grams):
+            size, name = self.sizes[k], self.names[k]
+            at = [i for i in places if grams[i] in template]
+            # A run of at least `least` shares at least lo * size of the template's bigrams.
+            need = self.least * size / (2 - self.least) - 1e-9
+            most = len({grams[i] for i in at})
+            if most < need:
+                continue
+            for a, first in enumerate(at):
+                seen, shared, past = set(), 0, first
+                for last in at[a:]:
+                    for g in grams[past : last + 1]:
+                        if g not in seen:
+                            seen.add(g)
+                            shared += g in template
+                    past = last + 1
+                    if len(seen) > size / self.lo + 1e-9:
+                        break
+                    dice = 2 * shared / (len(seen) + size)
+                    if dice >= self.least and dice > best.get(name, 0):
+                        best[name] = dice
+                    if shared == most:
+                        break
+
     def scan(self, text: str | None) -> list[tuple[str, float]]:
         """(licence, highest coefficient) of a text, by licence."""
         best: dict[str, float] = {}
@@ -100,6 +142,7 @@ class Matcher:
                 paragraph, in_paragraph = [], 0
         if in_text > 1:
             look(every)
+        self.runs(every, best)
         return sorted(best.items())
 
 

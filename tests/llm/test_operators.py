@@ -335,6 +335,21 @@ def test_licences(spark):
     assert licences.scan_licences(empty(spark)).count() == 0
 
 
+def test_licences_inside_other_words():
+    m, plain = licences.Matcher(licences.TEMPLATES, 0.8), "one two three four five six seven eight nine ten " * 30
+    for notice, name in (("Copyright 2020 Foo. Licensed under the MIT License.", "MIT"), ("Copyright (c) 2020 Foo. All rights reserved.", "all-rights-reserved"), ("Except where noted, this text is licensed under CC BY-NC 4.0.", "CC-BY-NC-4.0"), *((t, n) for n, t in licences.TEMPLATES)):
+        for text in (notice, f"{plain} {notice} {plain}", f"{plain}\n{plain} {notice.replace(' ', chr(10), 3)} {plain}"):
+            assert dict(m.scan(text)).get(name) == 1, (name, text)
+    assert {"BSD-2-Clause", "BSD-3-Clause"} <= {n for n, _ in m.scan(licences.BSD + licences.BSD_NAMES + licences.BSD_AS_IS)}
+    rng, small = np.random.default_rng(4), licences.Matcher((("A", "a b c d e"), ("B", "b c b d"), ("C", "e a")), 0.8)
+    for _ in range(60):
+        w = list(rng.choice(list("abcdefg"), int(rng.integers(2, 25))))
+        runs = [licences.bigrams(w[i:j]) for i in range(len(w)) for j in range(i + 2, len(w) + 1)]
+        want = {n: d for n, g in zip(small.names, small.grams, strict=True) if (d := max(2 * len(g & r) / (len(g) + len(r)) for r in runs)) >= 0.8}
+        assert dict(small.scan(" ".join(w))) == want
+    assert m.scan(plain) == []
+
+
 def test_licence_size_bounds_lose_nothing():
     rng = np.random.default_rng(6)
     m = licences.Matcher(licences.TEMPLATES, 0.8)
