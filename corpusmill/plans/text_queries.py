@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions import text as T
 from corpusmill.operators import labeling, near_dup, qc, rouge, summarize
-from corpusmill.sources.store import spread, table
+from corpusmill.sources.store import dealt, table
 
 
 def docs(spark: SparkSession, d: str) -> DataFrame:
@@ -19,7 +19,7 @@ def q_word_count(spark, d):
 
 
 def q_normalize_text(spark, d):
-    return spread(docs(spark, d)).select("doc_id", F.md5(T.normalize_text(F.col("text"))).alias("digest"))
+    return dealt(docs(spark, d)).select("doc_id", F.md5(T.normalize_text(F.col("text"))).alias("digest"))
 
 
 LINES = ("Đọc thêm: bài liên quan", "  XEM THÊM tại đây", "Tags: a, b", "tag: x", "Từ khóa: y", "Chia sẻ bài viết", "Liên quan: z", "Nội dung chính", "Bài đọc thêm", "tu khoa: w", "Thông tin tags: q")
@@ -61,7 +61,7 @@ def q_entities(spark, d):
 
 def summaries(spark, d):
     """The first 300 characters as summary of the text after the first 100."""
-    return spread(docs(spark, d)).select(F.col("doc_id").alias("article_id"), F.substring("text", 1, 300).alias("summary"), F.expr("substring(text, 101)").alias("source_text"), F.when(F.col("doc_id") % 50 == 0, "not news").alias("refusal_reason"))
+    return dealt(docs(spark, d)).select(F.col("doc_id").alias("article_id"), F.substring("text", 1, 300).alias("summary"), F.expr("substring(text, 101)").alias("source_text"), F.when(F.col("doc_id") % 50 == 0, "not news").alias("refusal_reason"))
 
 
 def q_unsupported_numbers(spark, d):
@@ -89,11 +89,11 @@ def q_qc_pass_rate(spark, d):
 
 
 def q_ngram_weights(spark, d):
-    return near_dup.ngrams(spread(docs(spark, d))).groupBy("doc_id").agg(F.count("*").alias("grams"), F.sum("weight").alias("weight"))
+    return near_dup.ngrams(dealt(docs(spark, d))).groupBy("doc_id").agg(F.count("*").alias("grams"), F.sum("weight").alias("weight"))
 
 
 def prints(spark, d):
-    return spread(docs(spark, d)).select("doc_id", F.col("doc_id").alias("seq"), near_dup.simhash64("text").alias("fp"))
+    return dealt(docs(spark, d)).select("doc_id", F.col("doc_id").alias("seq"), near_dup.simhash64("text").alias("fp"))
 
 
 def q_simhash64(spark, d):
@@ -133,7 +133,7 @@ def pairs(spark, d):
 def halves(spark, d):
     """The first half of each text's characters as prediction of the second."""
     half = "length(text) div 2"
-    return spread(docs(spark, d)).select(F.col("doc_id").alias("id"), F.expr(f"substring(text, 1, cast({half} as int))").alias("prediction"), F.expr(f"substring(text, cast({half} as int) + 1)").alias("reference"))
+    return dealt(docs(spark, d)).select(F.col("doc_id").alias("id"), F.expr(f"substring(text, 1, cast({half} as int))").alias("prediction"), F.expr(f"substring(text, cast({half} as int) + 1)").alias("reference"))
 
 
 def q_rouge1(spark, d):

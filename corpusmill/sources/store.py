@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Used only where spark.checkpoint.dir is unset, as in local tests.
+#: Used only on one machine where spark.checkpoint.dir is unset, as in local tests.
 LOCAL_WORK_DIR = "file:///tmp/checkpoints"
 
 
@@ -33,20 +34,46 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Tables of less than this may be one row group, which is one task however many cores there are.
-SMALL_BYTES = 16 << 20
+#: Setting with the number of partitions that dealt() makes; unset or 0 leaves tables as they are read.
+DEAL = "spark.corpusmill.deal"
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Deal a small table to all cores, for work that is heavy for each row; larger ones stay as they are read."""
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if int(size) < SMALL_BYTES else df
+def dealt(df: DataFrame) -> DataFrame:
+    """df in as many partitions as the session asks for by DEAL.
+
+    For tables of one row group, which is one task however many cores there are, as on a
+    single machine. The setting costs a shuffle of the table, so it is not meant for large ones.
+    """
+    n = int(df.sparkSession.conf.get(DEAL, "0"))
+    return df.repartition(n) if n else df
+
+
+def work_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share.
+
+    The session's spark.checkpoint.dir, else the context's checkpoint folder; on one machine
+    LOCAL_WORK_DIR. A cluster without any is an error: its executors share no local folder.
+    """
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if found:
+        return found.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return LOCAL_WORK_DIR
 
 
 def work_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the folder that driver and executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or LOCAL_WORK_DIR
-    return f"{base.rstrip('/')}/corpusmill/{name}-{uuid.uuid4().hex}"
+    """A fresh path in the application's part of the shared folder."""
+    return f"{application_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def application_dir(spark: SparkSession) -> str:
+    return f"{work_dir(spark)}/corpusmill/{spark.sparkContext.applicationId}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all that this application has written to the shared folder, when its results are consumed."""
+    remove(spark, application_dir(spark))
 
 
 def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
@@ -62,7 +89,8 @@ def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete a path of any store that Spark can reach."""
-    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-    jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
+def remove(spark: SparkSession, *paths: str) -> None:
+    """Delete paths of any store that Spark can reach."""
+    for path in paths:
+        jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+        jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
