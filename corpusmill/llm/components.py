@@ -25,8 +25,11 @@ def components(edges: DataFrame) -> DataFrame:
     now, path = written(tidy, "edges")
     before = signature(now)
     while before[0]:
-        after, new_path = written(small_star(large_star(now)), "edges")
-        remove(spark, path)
+        large, least_path = large_star(now)
+        middle, middle_path = written(large, "edges")
+        small, smallest_path = small_star(middle)
+        after, new_path = written(small, "edges")
+        remove(spark, path, least_path, middle_path, smallest_path)
         now, path = after, new_path
         current = signature(now)
         if current == before:
@@ -40,15 +43,19 @@ def signature(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("c", "p"))).first())
 
 
-def large_star(edges: DataFrame) -> DataFrame:
+# The least neighbours are written in both steps: a join of two plain exchanges is one that
+# adaptive execution can split, and a large group's centre has an edge to every member.
+
+
+def large_star(edges: DataFrame) -> tuple[DataFrame, str]:
     """Connect each node's larger neighbours to the smallest of the node and its neighbours."""
     both = edges.select(F.col("c").alias("a"), F.col("p").alias("b")).union(edges.select("p", "c"))
-    least = both.groupBy("a").agg(F.min("b").alias("m"))
-    return both.join(least, "a").where("b > a").select(F.col("b").alias("c"), F.least("a", "m").alias("p")).distinct()
+    least, path = written(both.groupBy("a").agg(F.min("b").alias("m")), "least")
+    return both.join(least, "a").where("b > a").select(F.col("b").alias("c"), F.least("a", "m").alias("p")).distinct(), path
 
 
-def small_star(edges: DataFrame) -> DataFrame:
+def small_star(edges: DataFrame) -> tuple[DataFrame, str]:
     """Connect each node and its smaller neighbours to the smallest of them."""
-    least = edges.groupBy("c").agg(F.min("p").alias("m"))
+    least, path = written(edges.groupBy("c").agg(F.min("p").alias("m")), "least")
     others = edges.join(least, "c").where("p <> m").select(F.col("p").alias("c"), F.col("m").alias("p"))
-    return others.union(least.select("c", F.col("m").alias("p"))).distinct()
+    return others.union(least.select("c", F.col("m").alias("p"))).distinct(), path

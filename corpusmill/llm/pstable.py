@@ -24,9 +24,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.blocks import Forest, grouped, groups, in_blocks
+from corpusmill.operators.blocks import Forest, grouped, groups, in_blocks
 from corpusmill.llm.components import components
-from corpusmill.sources.store import written
+from corpusmill.sources.store import remove, written
 
 #: Seed of the projections and shifts.
 SEED = 8191
@@ -146,8 +146,10 @@ def embedding_links(vectors: DataFrame, least: float = 0.95, miss: float = 0.001
     base = vectors.select("vec_id", "embedding")
     # Equal vectors are one node from here on; -0.0 and 0.0 are made equal first.
     zero = F.lit(0.0).cast(dict(base.dtypes)["embedding"].removeprefix("array<").removesuffix(">"))
-    clean = base.where(can_link()).withColumn("embedding", F.transform("embedding", lambda x: x + zero)).withColumn("node", F.xxhash64("embedding"))
-    node_of, _ = written(clean.groupBy("node").agg(F.count("*").alias("copies"), F.min("vec_id").alias("first_id"), F.first("embedding").alias("embedding")), "vectors")
+    clean = base.where(can_link()).withColumn("embedding", F.transform("embedding", lambda x: x + zero)).withColumn("name", F.struct(F.xxhash64("embedding").alias("a"), F.xxhash64(F.lit(1), "embedding").alias("b")))
+    kinds = clean.groupBy("name").agg(F.count("*").alias("copies"), F.min("vec_id").alias("first_id"), F.first("embedding").alias("embedding"))
+    # Numbers given as the table is written are fixed and unique at any size.
+    node_of, node_path = written(kinds.withColumn("node", F.monotonically_increasing_id()), "vectors")
 
     layout = Tables.for_vectors(node_of.count(), least, miss, width)
     tables = np.arange(layout.tables, dtype=np.int32)
@@ -184,11 +186,13 @@ def embedding_links(vectors: DataFrame, least: float = 0.95, miss: float = 0.001
     # Vectors join when buckets of one row are gone.
     dealt = in_blocks(rows, ["dim", "tbl", "bucket"], "node", cap).join(node_of.select("node", "copies", "embedding"), "node")
     dealt = grouped(dealt, keys)
-    found, _ = written(dealt.mapInArrow(check, "u bigint, v bigint, n bigint"), "cosine-links")
+    found, found_path = written(dealt.mapInArrow(check, "u bigint, v bigint, n bigint"), "cosine-links")
     root_of = components(found.select("u", "v"))
     counts = found.groupBy(F.col("u").alias("node")).agg(F.sum("n").alias("n"))
-    rooted = node_of.select("node", "copies", "first_id").join(counts, "node", "left").join(root_of, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    smallest = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = rooted.join(smallest, "root").select("node", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id")
-    linked = clean.select("vec_id", "node").join(named, "node").select("vec_id", "n_links", "component_id")
+    rooted, rooted_path = written(node_of.drop("embedding").join(counts, "node", "left").join(root_of, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
+    # Written as both sides of the joins below, so that a giant component's root can be split.
+    smallest, smallest_path = written(rooted.groupBy("root").agg(F.min("first_id").alias("component_id")), "smallest")
+    named, _ = written(rooted.join(smallest, "root").select("name", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id"), "groups")
+    remove(vectors.sparkSession, node_path, found_path, rooted_path, smallest_path)
+    linked = clean.select("vec_id", "name").join(named, "name").select("vec_id", "n_links", "component_id")
     return linked.union(base.where(~can_link()).select("vec_id", F.lit(0).cast("bigint"), "vec_id")).withColumn("kept", F.col("vec_id") == F.col("component_id"))

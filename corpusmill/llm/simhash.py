@@ -9,8 +9,10 @@ a node's children are keyed by their integer Hamming distance to it, and a searc
 only the edges whose key lies within the radius of its own distance. A broadcast of every
 shard tree would grow with the corpus, so a shard's tree and its queries meet in the task
 that holds the shard, and shards over a bound are cut into blocks that meet in pairs.
-For 64 bits and radius 3 the keys are the four 16-bit quarters: three differing bits leave
-a quarter untouched, so no link is lost.
+For 64 bits and radius 3 the bits are cut into blocks and the keys are all choices of all but
+three blocks: three differing bits leave the blocks of one choice untouched, so no link is
+lost. The number of blocks, and with it the length of the keys, grows with the number of
+fingerprints, so that a shard stays small.
 
 Where a least Jaccard similarity is asked for, components of fingerprints are candidates
 only: their texts meet again in blocks, and two link if their shingle sets are as similar.
@@ -19,16 +21,18 @@ only: their texts meet again in blocks, and two link if their shingle sets are a
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.blocks import Forest, grouped, groups, in_blocks
+from corpusmill.operators.blocks import Forest, grouped, groups, in_blocks
 from corpusmill.llm.components import components
-from corpusmill.sources.store import written
+from corpusmill.sources.store import remove, written
 
 #: XXH64 seed of the shingle hash.
 SEED = 42
@@ -38,6 +42,8 @@ SHARD_ROWS = 2048
 VERIFY_ROWS = 512
 #: Shingles whose hashes are held before they are counted.
 HELD = 200_000
+#: Comparisons that cost as much as one row of a table: dealing it out and sorting it.
+ROW_COST = 16
 ONES = np.uint64(0x0101010101010101)
 
 
@@ -92,11 +98,11 @@ def shingle_set(text: bytes | None, words: int) -> np.ndarray:
     return np.unique(np.array(shingle_hashes(text or b"", words), dtype=np.uint64))
 
 
-def fingerprints(texts: list[bytes | None], words: int = 3, lanes: int = 1, names: np.ndarray | None = None) -> np.ndarray:
+def fingerprints(texts: list[bytes | None], words: int = 3, lanes: int = 1, names: list[bytes] | None = None) -> np.ndarray:
     """Fingerprints of texts: uint64 array (texts, lanes). Null texts and texts without words get zero.
 
-    With names (uint64 array of zeros), each shingle counts once, and names receives the
-    XXH64 of each text's shingle set.
+    With names (a list), each shingle counts once, and names receives the 128-bit XXH3 of each
+    text's shingle set.
     """
     out = np.zeros((len(texts), lanes), dtype=np.uint64)
     hashes: list[int] = []
@@ -110,10 +116,12 @@ def fingerprints(texts: list[bytes | None], words: int = 3, lanes: int = 1, name
             x.clear()
 
     for i, text in enumerate(texts):
-        if text and (found := shingle_hashes(text, words)):
-            if names is not None:
-                once = np.unique(np.array(found, dtype=np.uint64))
-                names[i], found = xxhash.xxh64_intdigest(once.tobytes()), once.tolist()
+        found = shingle_hashes(text, words) if text else []
+        if names is not None:
+            once = np.unique(np.array(found, dtype=np.uint64))
+            names.append(xxhash.xxh3_128_digest(once.tobytes()))
+            found = once.tolist()
+        if found:
             hashes += found
             counts.append(len(found))
             rows.append(i)
@@ -123,27 +131,31 @@ def fingerprints(texts: list[bytes | None], words: int = 3, lanes: int = 1, name
     return out
 
 
+def row_key() -> Column:
+    """128 bits that tell documents of one doc_id apart."""
+    return F.struct(F.xxhash64("doc_id", "text").alias("a"), F.xxhash64(F.lit(1), "doc_id", "text").alias("b"))
+
+
 def fingerprinted(docs: DataFrame, words: int, lanes: int, by_set: bool = False) -> DataFrame:
-    """docs(doc_id, text) to doc_id, row_key, fp (binary, big-endian lanes), node (bigint).
+    """docs(doc_id, text) to doc_id, row_key, fp (binary, big-endian lanes), name (binary).
 
-    node identifies the fingerprint: it is the fingerprint itself for one lane, its XXH64
-    for more. by_set takes each shingle of a text once, and node identifies the set. row_key tells documents of one doc_id apart.
+    name tells what counts as equal: the fingerprint, or with by_set the 128-bit name of the
+    set of shingles, each of which then counts once.
     """
-    pairs = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row_key"), F.col("text").cast("binary").alias("text"))
+    pairs = docs.select("doc_id", row_key().alias("row_key"), F.col("text").cast("binary").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            names = np.zeros(b.num_rows, dtype=np.uint64) if by_set else None
+            names: list[bytes] | None = [] if by_set else None
             fp = fingerprints(b.column(2).to_pylist(), words, lanes, names)
             raw = [r.tobytes() for r in fp.astype(">u8")]
-            node = names if by_set else fp[:, 0] if lanes == 1 else np.array([xxhash.xxh64_intdigest(r) for r in raw], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(raw, pa.binary()), pa.array(node.view(np.int64))], names=["doc_id", "row_key", "fp", "node"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(raw, pa.binary()), pa.array(names if by_set else raw, pa.binary())], names=["doc_id", "row_key", "fp", "name"])
 
-    return pairs.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, row_key bigint, fp binary, node bigint")
+    return pairs.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, row_key struct<a:bigint,b:bigint>, fp binary, name binary")
 
 
-def layout(n: int, lanes: int, similarity: float, recall: float) -> np.ndarray:
-    """Which bits make the key of each table, int array (tables, bits), for n fingerprints.
+def layout(n: int, lanes: int, similarity: float, recall: float) -> list[np.ndarray]:
+    """Which bits make the key of each table, for n fingerprints.
 
     Keys grow with log2(n), so that unrelated fingerprints share few shards at any size, and
     the number of tables grows with them, so that a pair of texts whose shingle sets have
@@ -155,22 +167,27 @@ def layout(n: int, lanes: int, similarity: float, recall: float) -> np.ndarray:
     agree = 1 - np.arccos(2 * similarity / (1 + similarity)) / np.pi
     tables = int(np.ceil(np.log(1 - recall) / np.log(1 - agree**bits)))
     rng = np.random.default_rng(20240607)
-    return np.stack([rng.choice(64 * lanes, bits, replace=False) for _ in range(tables)])
+    return [rng.choice(64 * lanes, bits, replace=False) for _ in range(tables)]
+
 
+def exact_layout(n: int, radius: int = 3) -> list[np.ndarray]:
+    """Keys for n one-lane fingerprints that any two within `radius` bits share one of.
 
-def quarters() -> np.ndarray:
-    """The four 16-bit quarters of one-lane fingerprints: exact for radius 3."""
-    return np.arange(64).reshape(4, 16)
+    64 bits in m blocks, of which `radius` differing bits touch as many at most: each choice
+    of m - radius blocks is a key. More blocks make longer keys, so fewer chance meetings, and
+    more tables; m is the number with the least work, a row of a table costing ROW_COST
+    comparisons.
+    """
+    m = min(range(radius + 1, 10), key=lambda m: comb(m, radius) * (ROW_COST + n / 2 ** (64 * (m - radius) // m)))
+    blocks = np.array_split(np.arange(64), m)
+    return [np.concatenate(kept) for kept in combinations(blocks, m - radius)]
 
 
-def shard_keys(fp: np.ndarray, picks: np.ndarray) -> np.ndarray:
+def shard_keys(fp: np.ndarray, picks: list[np.ndarray]) -> np.ndarray:
     """Shard numbers of fingerprints (texts, lanes): int64 array (texts, tables)."""
-    bits = np.unpackbits(fp.astype("<u8").view(np.uint8), axis=1, bitorder="little")
-    tables, width = picks.shape
-    key = np.zeros((len(fp), tables), dtype=np.int64)
-    for k in range(width):
-        key |= bits[:, picks[:, k]].astype(np.int64) << k
-    return key * tables + np.arange(tables)
+    bits = np.unpackbits(fp.astype("<u8").view(np.uint8), axis=1, bitorder="little").astype(np.int64)
+    keys = [bits[:, pick] @ (1 << np.arange(len(pick), dtype=np.int64)) for pick in picks]
+    return np.stack(keys, axis=1) * len(picks) + np.arange(len(picks))
 
 
 class BKTree:
@@ -227,7 +244,7 @@ def shard_links(fps: list[int], block: list[int], i: int, j: int, radius: int) -
     return forest.stars()
 
 
-def links(distinct: DataFrame, lanes: int, radius: int, picks: np.ndarray, cap: int = SHARD_ROWS) -> DataFrame:
+def links(distinct: DataFrame, lanes: int, radius: int, picks: list[np.ndarray], cap: int = SHARD_ROWS) -> DataFrame:
     """Edges u, v that connect the same nodes as all links among distinct (node, fp)."""
 
     def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -281,11 +298,14 @@ def similar_links(sets: list[np.ndarray], fps: np.ndarray, block: np.ndarray, i:
     return [(x, r) for x, r in enumerate(root.tolist()) if r != x]
 
 
-def verified(docs: DataFrame, distinct: DataFrame, candidates: DataFrame, words: int, lanes: int, radius: int, least: float, cap: int = VERIFY_ROWS) -> DataFrame:
-    """Edges u, v among the nodes of each component of candidates(node, root) whose shingle sets are similar."""
-    keyed = docs.select(F.xxhash64("doc_id", "text").alias("row_key"), F.col("text").cast("binary").alias("text"))
+def verified(docs: DataFrame, distinct: DataFrame, candidates: DataFrame, words: int, lanes: int, radius: int, least: float, cap: int = VERIFY_ROWS) -> tuple[DataFrame, str]:
+    """Edges u, v among the nodes of each component of candidates(node, root) whose shingle sets are similar.
+
+    Also returns the path of a table that they are read from.
+    """
+    keyed = docs.select(row_key().alias("row_key"), F.col("text").cast("binary").alias("text"))
     members = distinct.join(candidates, "node").select("node", "root", "fp", "row_key")
-    rows, _ = written(keyed.join(members, "row_key").drop("row_key").dropDuplicates(["node"]), "candidates")
+    rows, path = written(keyed.join(members, "row_key").drop("row_key").dropDuplicates(["node"]), "candidates")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, bounds in groups(batches, ["root", "block_i", "block_j"]):
@@ -300,7 +320,7 @@ def verified(docs: DataFrame, distinct: DataFrame, candidates: DataFrame, words:
                     v.append(node[a + y])
             yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
-    return grouped(in_blocks(rows, ["root"], "node", cap), ["root", "block_i", "block_j"]).mapInArrow(verify, "u bigint, v bigint")
+    return grouped(in_blocks(rows, ["root"], "node", cap), ["root", "block_i", "block_j"]).mapInArrow(verify, "u bigint, v bigint"), path
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, lanes: int = 1, radius: int = 3, similarity: float | None = None, recall: float = 0.95, cap: int = SHARD_ROWS, least: float | None = None) -> DataFrame:
@@ -319,16 +339,28 @@ def near_duplicates(docs: DataFrame, words: int = 5, lanes: int = 1, radius: int
     """
     if similarity is None and (lanes, radius > 3) != (1, False):
         raise ValueError("a search without a similarity is exact for one lane and radius 3 at most")
+    spark = docs.sparkSession
     prints, _ = written(fingerprinted(docs, words, lanes, least is not None), "fingerprints")
-    distinct, _ = written(prints.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("fp").alias("fp"), F.first("row_key").alias("row_key")), "distinct")
-    picks = quarters() if similarity is None else layout(distinct.count(), lanes, similarity, recall)
+    one = F.min(F.struct("row_key", "fp"))
+    named = prints.groupBy("name").agg(F.min("doc_id").alias("first_id"), one.alias("one"))
+    # Numbers given as the table is written are fixed and unique at any size.
+    distinct, distinct_path = written(named.select("name", "first_id", "one.*", F.monotonically_increasing_id().alias("node")), "distinct")
+    n = distinct.count()
+    picks = exact_layout(n, radius) if similarity is None else layout(n, lanes, similarity, recall)
     root_of = components(links(distinct, lanes, radius, picks, cap))
+    paths = [distinct_path]
     if least is not None:
-        root_of = components(verified(docs, distinct, root_of, words, lanes, radius, least))
-    rooted = distinct.drop("row_key").join(root_of, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    smallest = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = rooted.join(smallest, "root").select("node", "root", "component_id")
-    return prints.join(named, "node").select("doc_id", "row_key", "fp", "root", "component_id")
+        edges, path = verified(docs, distinct, root_of, words, lanes, radius, least)
+        root_of = components(edges)
+        paths.append(path)
+    rooted, path = written(distinct.select("node", "name", "first_id").join(root_of, "node", "left").withColumn("root", F.coalesce("root", "node")).drop("node"), "rooted")
+    paths.append(path)
+    # Written as both sides of the joins below, so that a giant group's root can be split.
+    smallest, path = written(rooted.groupBy("root").agg(F.min("first_id").alias("component_id")), "smallest")
+    paths.append(path)
+    name_of, _ = written(rooted.join(smallest, "root").select("name", "root", "component_id"), "groups")
+    remove(spark, *paths)
+    return prints.join(name_of, "name").select("doc_id", "row_key", "fp", "root", "component_id")
 
 
 def keep_one(docs: DataFrame, grouped_docs: DataFrame) -> DataFrame:
@@ -336,6 +368,7 @@ def keep_one(docs: DataFrame, grouped_docs: DataFrame) -> DataFrame:
 
     Columns stay as they are; of fully repeated rows one stays.
     """
-    least = grouped_docs.groupBy("root").agg(F.min(F.struct("doc_id", "row_key")).alias("w")).select(F.col("w.row_key").alias("_row_key"))
-    keyed = docs.withColumn("_row_key", F.xxhash64("doc_id", "text"))
-    return keyed.join(least, "_row_key").dropDuplicates(["_row_key"]).drop("_row_key")
+    firsts = grouped_docs.groupBy("root").agg(F.min(F.struct("doc_id", "row_key")).alias("w")).select(F.col("w.row_key").alias("key"))
+    # The row travels as a struct, so names cannot clash; of one key's rows any is as good.
+    whole = docs.select(row_key().alias("key"), F.struct(*docs.columns).alias("row"))
+    return whole.join(firsts, "key").groupBy("key").agg(F.first("row").alias("row")).select("row.*")
