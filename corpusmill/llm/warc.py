@@ -45,10 +45,11 @@ class WarcError(ValueError):
     """An archive or a record that breaks the format."""
 
 
-def record(kind: str, page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
-    """One WARC record. A revisit holds the HTTP headers only, which tell the payload's length."""
-    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
-    block = http + (payload if kind == "response" else b"")
+def record(page_id: int | None, url: str | None, payload: bytes | None, length: int, digest: str, refers_to: int | None) -> bytes:
+    """One WARC record. Without a payload it is a revisit: the HTTP headers only, which tell the payload's length."""
+    kind = "revisit" if payload is None else "response"
+    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {length}\r\n\r\n".encode()
+    block = http + (payload or b"")
     head = [VERSION, f"WARC-Type: {kind}", f"WARC-Record-ID: {RECORD_ID.format('' if page_id is None else page_id)}", f"WARC-Date: {DATE}"]
     if url:
         head.append("WARC-Target-URI: " + re.sub(r"\s", "%20", url))
@@ -156,13 +157,21 @@ def train_dictionary(pages: DataFrame) -> bytes:
 
 
 def with_originals(pages: DataFrame) -> DataFrame:
-    """page_id, url, payload (binary), digest, refers_to (null for pages to be written whole)."""
+    """page_id, url, payload (binary, null for revisits), length, digest, refers_to (null for pages to be written whole).
+
+    Only ids and digests meet by digest, so a payload that many pages have lies in no task
+    twice; payloads move only where the table of revisits is too large to be sent to all tasks.
+    """
     payload = F.coalesce("html", F.lit("")).cast("binary")
-    rows = pages.select("page_id", "url", payload.alias("payload")).withColumn("digest", F.sha2("payload", 256))
-    least = F.octet_length("payload") >= REVISIT_BYTES
-    firsts = rows.where(least).groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).where("n > 1").drop("n")
-    refers = F.when(~F.col("page_id").eqNullSafe(F.col("first_id")), F.col("first_id"))
-    return rows.join(firsts, "digest", "left").select("page_id", "url", "payload", "digest", refers.alias("refers_to"))
+    rows = pages.select("page_id", "url", payload.alias("payload")).withColumns({"length": F.octet_length("payload").cast("bigint"), "digest": F.sha2("payload", 256)})
+    keys, _ = written(rows.where(F.col("length") >= REVISIT_BYTES).select("page_id", "url", "length", "digest"), "digests")
+    firsts, _ = written(keys.groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).where("n > 1").drop("n"), "firsts")
+    # Both sides are plain tables, so adaptive execution can split a hot digest.
+    met = keys.join(firsts, "digest").where(~F.col("page_id").eqNullSafe(F.col("first_id")))
+    revisits, _ = written(met.select("page_id", "url", F.lit(None).cast("binary").alias("payload"), "length", "digest", F.col("first_id").alias("refers_to")), "revisits")
+    known = revisits.select(F.col("page_id").alias("_page"), F.col("digest").alias("_digest")).distinct()
+    whole = rows.join(known, (F.col("digest") == F.col("_digest")) & F.col("page_id").eqNullSafe(F.col("_page")), "left_anti")
+    return whole.withColumn("refers_to", F.lit(None).cast("bigint")).unionByName(revisits)
 
 
 def write_archives(pages: DataFrame, path: str, dictionary: bytes, archive_bytes: int = ARCHIVE_BYTES, level: int = 3) -> DataFrame:
@@ -191,12 +200,12 @@ def write_archives(pages: DataFrame, path: str, dictionary: bytes, archive_bytes
                 out = None
 
         for b in batches:
-            for page_id, url, payload, digest, refers in zip(*(c if k == 2 else c.to_pylist() for k, c in enumerate(b.columns)), strict=True):
+            for page_id, url, payload, length, digest, refers in zip(*(c if k == 2 else c.to_pylist() for k, c in enumerate(b.columns)), strict=True):
                 if out is None:
                     name = f"pages-{TaskContext.get().partitionId():05d}-{uuid.uuid4().hex}.warc.zst"
                     out, size, records = store.open_output_stream(f"{root}/{name}.open", compression=None), 0, 0
                     out.write(dictionary_frame(dictionary))
-                frame = squeeze.compress(record("response" if refers is None else "revisit", page_id, url, payload.as_py(), digest, refers))
+                frame = squeeze.compress(record(page_id, url, payload.as_py(), length, digest, refers))
                 out.write(frame)
                 size += len(frame)
                 records += 1
