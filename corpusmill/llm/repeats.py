@@ -14,7 +14,8 @@ Pass 3 orders the windows of the runs that remain, those that share an anchor bu
 elsewhere, by digits of DIGIT bytes in the task that holds the anchor's group. Groups over a
 bound, such as a passage that many documents embed, are dealt by whole windows instead.
 
-Rows hold 64-bit hashes of digits; run identity rests on two of them, 128 bits together.
+Rows hold 64-bit hashes of digits; run identity rests on two of them, 128 bits together, and
+so does the identity (k, k2) of a document.
 """
 
 from __future__ import annotations
@@ -28,8 +29,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.blocks import grouped, groups
-from corpusmill.sources.store import written
+from corpusmill.operators.blocks import grouped, groups
+from corpusmill.sources.store import remove, written
 
 DEPTH = 200
 ANCHOR = 40
@@ -96,8 +97,8 @@ def runs(texts: list[bytes], depth: int, anchor: int) -> tuple[np.ndarray, np.nd
     return text, at - (np.cumsum(lengths) - lengths)[text], windows, hashes[place[first]].view(np.int64), whole.view(np.int64)
 
 
-def stretches(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[tuple[list[int], list[int], list[bytes]]]:
-    """Keys, offsets and texts, some STRETCH bytes at a time.
+def stretches(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[tuple[np.ndarray, np.ndarray, list[bytes]]]:
+    """Keys (texts, 2), offsets and texts, some STRETCH bytes at a time.
 
     A text longer than that comes in pieces which overlap so that every window lies in one
     piece. Anchors depend on a window's own bytes only, so runs that a cut divides still
@@ -105,18 +106,18 @@ def stretches(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[tuple[l
     """
     keys, offsets, texts, size = [], [], [], 0
     for b in batches:
-        for key, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+        for k, k2, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
             text = text.as_py()
             for at in range(0, max(1, len(text) - depth + 1), STRETCH):
-                keys.append(key)
+                keys.append((k, k2))
                 offsets.append(at)
                 texts.append(text[at : at + STRETCH + depth - 1])
                 size += len(texts[-1])
                 if size >= STRETCH:
-                    yield keys, offsets, texts
+                    yield np.array(keys, dtype=np.int64), np.array(offsets, dtype=np.int64), texts
                     keys, offsets, texts, size = [], [], [], 0
     if keys:
-        yield keys, offsets, texts
+        yield np.array(keys, dtype=np.int64), np.array(offsets, dtype=np.int64), texts
 
 
 def window_order(joined: np.ndarray, start: np.ndarray, group: np.ndarray, depth: int, digit: int) -> np.ndarray:
@@ -148,49 +149,60 @@ def packed(start: np.ndarray, windows: np.ndarray) -> np.ndarray:
     return (start << 16) | windows
 
 
-def repeated_spans(base: DataFrame, docs: DataFrame, depth: int, anchor: int, digit: int, group_rows: int) -> DataFrame:
-    """Runs of repeated windows: k, span (start << 16 | windows), for docs(k, text binary).
+KEY = ["k", "k2"]
 
-    base holds the same rows dealt by k.
+
+def repeated_spans(base: DataFrame, docs: DataFrame, depth: int, anchor: int, digit: int, group_rows: int) -> tuple[DataFrame, list[str]]:
+    """Runs of repeated windows: k, k2, span (start << 16 | windows), for docs(k, k2, text binary).
+
+    base holds the same rows dealt by k and k2. Also returns the paths of tables that the
+    result is read from.
     """
+    spark = docs.sparkSession
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for keys, offsets, texts in stretches(batches, depth):
             text, start, windows, head, whole = runs(texts, depth, anchor)
-            k, o = np.array(keys, dtype=np.int64), np.array(offsets, dtype=np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (head, whole, k[text], packed(start + o[text], windows))], names=["head", "whole", "k", "span"])
-
-    # Pass 1: anchors that occur twice or more.
-    rows = docs.select("k", "text").mapInArrow(find, "head bigint, whole bigint, k bigint, span bigint")
-    heads = rows.groupBy("head").agg(F.count("*").alias("n"), F.min("whole").alias("lo"), F.max("whole").alias("hi")).where("n > 1")
-    # Written, so that the join below reads two plain exchanges and can split a hot anchor.
-    heads, _ = written(heads, "anchors")
-    met, _ = written(rows.join(heads, "head").select("head", "whole", "k", "span", (F.col("lo") == F.col("hi")).alias("alike"), (F.col("n") > group_rows).alias("hot")), "runs")
+            arrays = (head, whole, keys[text, 0], keys[text, 1], packed(start + offsets[text], windows))
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], names=["head", "whole", *KEY, "span"])
+
+    # Pass 1: anchors that occur twice or more. Tables are written before joins, so that these
+    # read two plain exchanges and a hot anchor, run or window can be split.
+    rows, rows_path = written(docs.select(*KEY, "text").mapInArrow(find, "head bigint, whole bigint, k bigint, k2 bigint, span bigint"), "rows")
+    heads, heads_path = written(rows.groupBy("head").agg(F.count("*").alias("n"), F.min("whole").alias("lo"), F.max("whole").alias("hi")).where("n > 1"), "anchors")
+    met, met_path = written(rows.join(heads, "head").select("head", "whole", *KEY, "span", (F.col("lo") == F.col("hi")).alias("alike"), (F.col("n") > group_rows).alias("hot")), "runs")
+    remove(spark, rows_path, heads_path)
     # Pass 2: equal runs.
-    alike = met.where("alike").select("k", "span")
+    alike = met.where("alike").select(*KEY, "span")
     mixed = met.where(~F.col("alike"))
-    kinds, _ = written(mixed.groupBy("head", "whole").agg(F.count("*").alias("n"), F.min(F.struct("k", "span")).alias("one"), F.first("hot").alias("hot")), "run-kinds")
-    equal = mixed.join(kinds.where("n > 1").select("head", "whole"), ["head", "whole"]).select("k", "span")
+    kinds, kinds_path = written(mixed.groupBy("head", "whole").agg(F.count("*").alias("n"), F.min(F.struct(*KEY, "span")).alias("one"), F.first("hot").alias("hot")), "run-kinds")
+    equal = mixed.join(kinds.where("n > 1").select("head", "whole"), ["head", "whole"]).select(*KEY, "span")
 
     # Pass 3: windows of one run of each kind.
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before = None
         for b in batches:
-            out: list[list] = [[], [], [], [], []]
-            for k, text, refs in zip(*(b.column(c).to_pylist() for c in ("k", "text", "refs")), strict=True):
+            out: list[list] = [[], [], [], [], [], []]
+            for k, k2, text, refs in zip(*(b.column(c).to_pylist() for c in (*KEY, "text", "refs")), strict=True):
+                # Of equal documents in a row one will do.
+                if (k, k2) == before:
+                    continue
+                before = (k, k2)
                 for r in refs:
                     at, n = r["span"] >> 16, r["span"] & 0xFFFF
-                    for c, x in zip(out, (r["head"], k, r["span"], r["hot"], text[at : at + n - 1 + depth]), strict=True):
+                    for c, x in zip(out, (r["head"], k, k2, r["span"], r["hot"], text[at : at + n - 1 + depth]), strict=True):
                         c.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.bool_()), pa.array(out[4], pa.binary())], names=["head", "k", "span", "hot", "bytes"])
+            kinds_of = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds_of, strict=True)], names=["head", *KEY, "span", "hot", "bytes"])
 
-    refs = kinds.select(F.col("one.k").alias("k"), F.struct("head", F.col("one.span").alias("span"), "hot").alias("r")).groupBy("k").agg(F.collect_list("r").alias("refs"))
-    spans = base.join(refs, "k").mapInArrow(cut, "head bigint, k bigint, span bigint, hot boolean, bytes binary")
-    spans, _ = written(spans, "run-bytes")
+    refs, refs_path = written(kinds.select("one.k", "one.k2", F.struct("head", F.col("one.span").alias("span"), "hot").alias("r")).groupBy(*KEY).agg(F.collect_list("r").alias("refs")), "refs")
+    spans, spans_path = written(base.join(refs, KEY).mapInArrow(cut, "head bigint, k bigint, k2 bigint, span bigint, hot boolean, bytes binary"), "run-bytes")
+    remove(spark, refs_path)
 
     def order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, _ in groups(batches, ["head"]):
             for part in whole_groups(t, 20_000):
-                head, k, span = (part.column(c).to_numpy() for c in ("head", "k", "span"))
+                head, k, k2, span = (part.column(c).to_numpy() for c in ("head", *KEY, "span"))
                 text = part.column("bytes").to_pylist()
                 lengths = np.fromiter(map(len, text), np.int64, len(text))
                 n = span & 0xFFFF
@@ -203,26 +215,28 @@ def repeated_spans(base: DataFrame, docs: DataFrame, depth: int, anchor: int, di
                     first = np.flatnonzero(np.concatenate(([True], (np.diff(found) != 1) | (np.diff(run[found]) != 0))))
                     count = np.diff(np.append(first, len(found)))
                     w = found[first]
-                    yield pa.RecordBatch.from_arrays([pa.array(k[run[w]]), pa.array(packed((span[run[w]] >> 16) + within[w], count))], names=["k", "span"])
+                    at = run[w]
+                    yield pa.RecordBatch.from_arrays([pa.array(k[at]), pa.array(k2[at]), pa.array(packed((span[at] >> 16) + within[w], count))], names=[*KEY, "span"])
 
-    ordered = grouped(spans.where("not hot").drop("hot"), ["head"]).mapInArrow(order, "k bigint, span bigint")
+    ordered = grouped(spans.where("not hot").drop("hot"), ["head"]).mapInArrow(order, "k bigint, k2 bigint, span bigint")
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh3_128_digest
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
-                ks, ws, spans_ = [], [], []
-                for k, span, text in zip(*(part.column(c).to_pylist() for c in ("k", "span", "bytes")), strict=True):
+                ks, k2s, ws, spans_ = [], [], [], []
+                for k, k2, span, text in zip(*(part.column(c).to_pylist() for c in (*KEY, "span", "bytes")), strict=True):
                     n = span & 0xFFFF
                     ks += [k] * n
+                    k2s += [k2] * n
                     spans_ += [((span >> 16) + i << 16) | 1 for i in range(n)]
                     ws += [digest(text[i : i + depth]) for i in range(n)]
-                yield pa.RecordBatch.from_arrays([pa.array(ws, pa.binary()), pa.array(ks, pa.int64()), pa.array(spans_, pa.int64())], names=["window", "k", "span"])
+                yield pa.RecordBatch.from_arrays([pa.array(ws, pa.binary()), *(pa.array(x, pa.int64()) for x in (ks, k2s, spans_))], names=["window", *KEY, "span"])
 
-    hot = spans.where("hot").mapInArrow(windows, "window binary, k bigint, span bigint")
-    many = hot.groupBy("window").agg(F.count("*").alias("n")).where("n > 1").select("window")
-    return alike.union(equal).union(ordered).union(hot.join(many, "window").select("k", "span"))
+    hot = spans.where("hot").mapInArrow(windows, "window binary, k bigint, k2 bigint, span bigint")
+    many, many_path = written(hot.groupBy("window").agg(F.count("*").alias("n")).where("n > 1").select("window"), "windows")
+    return alike.union(equal).union(ordered).union(hot.join(many, "window").select(*KEY, "span")), [met_path, kinds_path, spans_path, many_path]
 
 
 def whole_groups(t: pa.Table, rows: int) -> Iterator[pa.Table]:
@@ -254,16 +268,20 @@ def remove_repeats(docs: DataFrame, depth: int = DEPTH, anchor: int = ANCHOR, di
     the input, within and across documents, overlaps count, and no string crosses documents.
     Returns doc_id, n_bytes, n_removed, n_spans (maximal removed runs) and kept_sha256; with
     with_text also kept, the remaining bytes joined as text (a character cut in two is
-    dropped), and all further columns of docs, whatever their names are except these.
+    dropped), and all further columns of docs.
     Repeated rows are documents of their own, so from `depth` bytes on they are removed
-    whole. Texts shorter than `depth` stay. An empty table gives no rows.
+    whole. Texts shorter than `depth` stay. An empty table gives no rows. Further columns
+    whose names are those of the result come with a mark of `_` behind them.
     """
     extra = [c for c in docs.columns if c not in ("doc_id", "text")] if with_text else []
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text")
-    keyed = docs.select(F.xxhash64("doc_id", "text").alias("k"), "doc_id", text, *([F.struct(*extra).alias("extra")] if extra else []))
-    base = keyed.repartition("k")
-    spans = repeated_spans(base, keyed, depth, anchor, digit, group_rows)
-    by_doc = spans.groupBy("k").agg(F.collect_list("span").alias("spans"))
+    names = (F.xxhash64("doc_id", "text").alias("k"), F.xxhash64(F.lit(1), "doc_id", "text").alias("k2"))
+    keyed = docs.select(*names, "doc_id", text, *([F.struct(*extra).alias("extra")] if extra else []))
+    base = keyed.repartition(*KEY)
+    spans, paths = repeated_spans(base, keyed, depth, anchor, digit, group_rows)
+    # Documents of one key have equal spans: a set holds them once however many copies there are.
+    by_doc, _ = written(spans.groupBy(*KEY).agg(F.collect_set("span").alias("spans")), "spans")
+    remove(docs.sparkSession, *paths)
 
     def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -287,5 +305,16 @@ def remove_repeats(docs: DataFrame, depth: int = DEPTH, anchor: int = ANCHOR, di
 
     kinds = dict(keyed.dtypes)
     schema = f"doc_id {kinds['doc_id']}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + (", kept string" if with_text else "") + (f", extra {kinds['extra']}" if extra else "")
-    out = base.join(by_doc, "k", "left").mapInArrow(rest, schema)
-    return out.select(*(c for c in out.columns if c != "extra"), "extra.*") if extra else out
+    out = base.join(by_doc, KEY, "left").mapInArrow(rest, schema)
+    if not extra:
+        return out
+    plain = [c for c in out.columns if c != "extra"]
+    taken = {c.lower() for c in (*plain, *extra)}
+    names = []
+    for c in extra:
+        name = c
+        while name.lower() in {p.lower() for p in plain} or name != c and name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        names.append(F.col("extra")[c].alias(name))
+    return out.select(*plain, *names)
