@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.llm import chat, licences, mixing, packing, pstable, quality, repeats, simhash, toxicity, warc
-from corpusmill.sources.store import spread, table
+from corpusmill.sources.store import dealt, table
 
 
 def tokenizer_path() -> str:
@@ -20,16 +20,16 @@ def op1_packing(spark: SparkSession, d: str) -> DataFrame:
 
 
 def op2_repeats(spark: SparkSession, d: str) -> DataFrame:
-    return repeats.remove_repeats(spread(table(spark, d, "documents")))
+    return repeats.remove_repeats(dealt(table(spark, d, "documents")))
 
 
 def op3_simhash(spark: SparkSession, d: str) -> DataFrame:
-    groups = simhash.near_duplicates(spread(table(spark, d, "documents")), words=3)
+    groups = simhash.near_duplicates(dealt(table(spark, d, "documents")), words=3)
     return groups.select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
 
 
 def op4_quality(spark: SparkSession, d: str) -> DataFrame:
-    return quality.quality(spread(table(spark, d, "documents")), table(spark, d, "labels"))
+    return quality.quality(dealt(table(spark, d, "documents")), table(spark, d, "labels"))
 
 
 def op5_chat(spark: SparkSession, d: str) -> DataFrame:
@@ -37,11 +37,12 @@ def op5_chat(spark: SparkSession, d: str) -> DataFrame:
 
 
 def op6_mixing(spark: SparkSession, d: str) -> DataFrame:
-    return mixing.mix(table(spark, d, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    at = [F.get("positions", k).alias(f"position_{k + 1}") for k in range(mixing.MOST_PASSES)]
+    return mixing.mix(table(spark, d, "documents")).select("doc_id", "size", "source_size", "target", "taken", *at)
 
 
 def op7_licences(spark: SparkSession, d: str) -> DataFrame:
-    return licences.scan_licences(spread(table(spark, d, "documents")))
+    return licences.scan_licences(dealt(table(spark, d, "documents")))
 
 
 def op8_embeddings(spark: SparkSession, d: str) -> DataFrame:
@@ -49,7 +50,7 @@ def op8_embeddings(spark: SparkSession, d: str) -> DataFrame:
 
 
 def op9_toxicity(spark: SparkSession, d: str) -> DataFrame:
-    return toxicity.toxicity(spread(table(spark, d, "documents")), table(spark, d, "labels")).select("doc_id", "severity", "toxic")
+    return toxicity.toxicity(dealt(table(spark, d, "documents")), table(spark, d, "labels")).select("doc_id", "severity", "toxic")
 
 
 def op10_warc(spark: SparkSession, d: str) -> DataFrame:
@@ -68,13 +69,18 @@ ORACLE_SQL = {
                              / sum(w) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level,
                           row_number() OVER o AS k FROM weighed WINDOW o AS (ORDER BY cap / w, rnk)),
         level AS (SELECT level FROM levels WHERE level <= cap / w ORDER BY k LIMIT 1),
-        targets AS (SELECT source, source_size, least(cap, (SELECT level FROM level) * w) AS target FROM weighed),
-        placed AS (SELECT s.*, source_size, target,
+        targets AS (SELECT source, rnk, source_size, least(cap, (SELECT level FROM level) * w) AS target FROM weighed),
+        placed AS (SELECT s.*, rnk, source_size, target,
                           (sum(size) OVER (PARTITION BY s.source ORDER BY md5(coalesce(doc_id::VARCHAR, '')), doc_id NULLS FIRST, size ROWS UNBOUNDED PRECEDING) - size)::BIGINT AS st
-                   FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source)
-        SELECT doc_id, size::BIGINT AS size, source_size, target,
-               (greatest(0, least(size, floor(target)::BIGINT - st)) + greatest(0, least(size, floor(target)::BIGINT - st - source_size)))::BIGINT AS taken
-        FROM placed""",
+                   FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source),
+        slopes AS (SELECT p.*, [-0.5, 0.0, 0.5][(rnk - 1) % 3 + 1]::DOUBLE AS a,
+                          greatest(0, least(size, floor(target)::BIGINT - st)) AS t1, greatest(0, least(size, floor(target)::BIGINT - st - source_size)) AS t2,
+                          st::DOUBLE / target AS u1, (st + source_size)::DOUBLE / target AS u2
+                   FROM placed p)
+        SELECT doc_id, size::BIGINT AS size, source_size, target, (t1 + t2)::BIGINT AS taken,
+               CASE WHEN t1 > 0 THEN 2::DOUBLE * u1 / ((1::DOUBLE - a) + sqrt((1::DOUBLE - a) * (1::DOUBLE - a) + 4::DOUBLE * a * u1)) END AS position_1,
+               CASE WHEN t2 > 0 THEN 2::DOUBLE * u2 / ((1::DOUBLE - a) + sqrt((1::DOUBLE - a) * (1::DOUBLE - a) + 4::DOUBLE * a * u2)) END AS position_2
+        FROM slopes""",
     "op8_embeddings": """
         WITH RECURSIVE pairs AS (
             SELECT a.vec_id AS u, b.vec_id AS v FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id
