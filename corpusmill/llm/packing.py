@@ -8,7 +8,9 @@ groups of like numbers of tokens.
 Every task packs the documents it reads, a bounded batch at a time, and carries what is
 left over to its next batch, so nothing is shuffled and the padding does not depend on
 how many tasks there are: a task's last tokens go to windows of ever smaller powers of
-two, which need no padding either.
+two, which need no padding either. Where documents have an order, such as that of a
+curriculum, they are ranged to tasks along it, and sequences are numbered in the order of
+the documents they start with.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.llm.tokens import word_tokenizer
@@ -34,6 +36,8 @@ BATCH_TOKENS = 1 << 20
 STEP_TOKENS = 64 * CONTEXT
 #: Bytes of text tokenized at once; few enough to stay in a core's cache between passes.
 TEXT_BYTES = 1 << 16
+#: Bytes of documents, as Spark estimates them, that one task packs in order.
+TASK_BYTES = 16 << 20
 
 PIECE = tuple[int, int, int]  # document's place in the batch, start, length
 
@@ -127,7 +131,7 @@ def step_groups(lengths: list[int], step_tokens: int) -> list[int]:
     return out
 
 
-def pack(docs: DataFrame, tokenizer: str, context: int = CONTEXT, tiers: tuple[int, ...] = TIERS, end_id: int = END_ID, step_tokens: int = STEP_TOKENS, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, context: int = CONTEXT, tiers: tuple[int, ...] = TIERS, end_id: int = END_ID, step_tokens: int = STEP_TOKENS, with_ids: bool = False, order: list[Column] | None = None) -> DataFrame:
     """Pack documents into sequences; one row for each piece of a document.
 
     docs: doc_id, text and any others, which are ignored. A document is its text's ids
@@ -137,6 +141,9 @@ def pack(docs: DataFrame, tokenizer: str, context: int = CONTEXT, tiers: tuple[i
     Null and repeated doc_ids are documents of their own. Sequence numbers hold the task's
     number in their upper bits and follow the order of its input, so a task that is run
     again gives the same rows. An empty table gives no rows.
+
+    With `order` documents are packed in that order: sequence_id rises along it, but for the
+    documents of one batch of BATCH_TOKENS and the pieces it leaves over. Nulls come first.
     """
     if list(tiers) != sorted(tiers) or tiers[-1] != context or any(t & (t - 1) for t in tiers):
         raise ValueError("tiers must be rising powers of two that end with the context size")
@@ -171,7 +178,8 @@ def pack(docs: DataFrame, tokenizer: str, context: int = CONTEXT, tiers: tuple[i
 
         def batch(last: bool) -> Iterator[pa.RecordBatch]:
             nonlocal waiting
-            windows = pack_windows(shelves, last)
+            # Along the input: by the first document that begins in a window, else by the first it holds.
+            windows = sorted(pack_windows(shelves, last), key=lambda w: min((p[1] > 0, p[0]) for p in w)[1])
             for at in range(0, len(windows), 2048):
                 yield emit(windows[at : at + 2048])
             left = {x[1] for t in tiers for x in shelves.of[t]}
@@ -193,7 +201,12 @@ def pack(docs: DataFrame, tokenizer: str, context: int = CONTEXT, tiers: tuple[i
         yield from batch(True)
 
     kinds = [f"doc_id {id_type}", *(f"{c} bigint" for c in NAMES[1:9]), *(["ids array<int>"] if with_ids else [])]
-    return docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text")).mapInArrow(run, ", ".join(kinds))
+    read = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"), *(c.alias(f"order_{k}") for k, c in enumerate(order or [])))
+    if order:
+        tasks = max(1, -(-int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) // TASK_BYTES))
+        along = [f"order_{k}" for k in range(len(order))]
+        read = read.repartitionByRange(tasks, *along).sortWithinPartitions(*along).select("doc_id", "text")
+    return read.mapInArrow(run, ", ".join(kinds))
 
 
 NAMES = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "tier", "step_group", "ids"]
