@@ -59,7 +59,36 @@ def op10_warc(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_packing, op2_repeats, op3_simhash, op4_quality, op5_chat, op6_mixing, op7_licences, op8_embeddings, op9_toxicity, op10_warc)}
 
+# Lines with their levels, runs of one level, what of them can be quoted, the nearest earlier
+# message that has it unquoted, votes, and threads followed one reply at a time.
+MARKS = r"'^(?:[ \t]*>)+'"
+FLAT = r"lower(trim(regexp_replace({0}, '[\x09-\x0D ]+', ' ', 'g')))"
+UNITS = r"list_concat([array_to_string(ls, ' ')], string_split_regex(array_to_string(ls, chr(10)), '\n[\x09-\x0D ]*\n'), ls)"
+QUOTATIONS = rf"""
+        WITH RECURSIVE m AS (SELECT row_number() OVER () AS r, conv_id, turn, role, string_split_regex(coalesce(text, ''), '\r?\n') AS ls FROM conversations),
+        cut AS (SELECT r, conv_id, turn, unnest(ls) AS l, generate_subscripts(ls, 1) AS i FROM m),
+        marked AS (SELECT *, length(regexp_extract(l, {MARKS})) - length(replace(regexp_extract(l, {MARKS}), '>', '')) AS raw, regexp_replace(l, '^(?:[ \t]*>)+[ \t]?', '') AS body FROM cut),
+        lines AS (SELECT *, CASE WHEN raw = 0 AND regexp_matches(body, '{chat.ATTRIBUTION}') AND coalesce(lead(raw) OVER (PARTITION BY r ORDER BY i), 0) > 0 THEN -1 ELSE raw END AS level FROM marked),
+        steps AS (SELECT *, CASE WHEN level = lag(level) OVER (PARTITION BY r ORDER BY i) THEN 0 ELSE 1 END AS step FROM lines),
+        runs AS (SELECT *, sum(step) OVER (PARTITION BY r ORDER BY i ROWS UNBOUNDED PRECEDING) AS run FROM steps),
+        passages AS (SELECT r, conv_id, turn, run, level, list(body ORDER BY i) AS ls FROM runs GROUP BY ALL),
+        bodies AS (SELECT r, list(body ORDER BY i) FILTER (WHERE level = 0) AS ls FROM lines GROUP BY r),
+        said AS (SELECT DISTINCT conv_id, turn, {FLAT.format("u")} AS k FROM (
+            SELECT conv_id, turn, unnest({UNITS}) AS u FROM passages WHERE level = 0 UNION ALL SELECT conv_id, turn, array_to_string(b.ls, ' ') FROM m JOIN bodies b USING (r))),
+        asked AS (SELECT DISTINCT conv_id, turn, level, {FLAT.format("u")} AS k FROM (SELECT conv_id, turn, level, unnest({UNITS}) AS u FROM passages WHERE level > 0)),
+        found AS (SELECT a.conv_id, a.turn, a.level, a.k, max(s.turn) AS parent FROM asked a JOIN said s ON a.conv_id = s.conv_id AND a.k = s.k AND s.turn < a.turn WHERE a.k <> '' GROUP BY ALL),
+        votes AS (SELECT conv_id, turn, parent, row_number() OVER (PARTITION BY conv_id, turn ORDER BY level, count(*) DESC, parent DESC) AS n FROM found GROUP BY conv_id, turn, level, parent),
+        replies AS (SELECT conv_id, turn, parent FROM votes WHERE n = 1),
+        walk AS (SELECT conv_id, turn, parent, parent AS top, 1 AS depth FROM replies UNION ALL SELECT w.conv_id, w.turn, w.parent, p.parent, w.depth + 1 FROM walk w JOIN replies p ON w.conv_id = p.conv_id AND w.top = p.turn),
+        ends AS (SELECT conv_id, turn, parent, arg_max(top, depth) AS top, max(depth) AS depth FROM walk GROUP BY ALL),
+        all_rows AS (SELECT m.r, m.conv_id, m.turn, role, coalesce(array_to_string(b.ls, chr(10)), '') AS body, (SELECT count(*) FROM passages p WHERE p.r = m.r AND level > 0) AS n_passages,
+                     parent AS parent_turn, coalesce(top, m.turn) AS thread_turn, coalesce(depth, 0) AS depth FROM m JOIN bodies b ON m.r = b.r LEFT JOIN ends e ON m.conv_id = e.conv_id AND m.turn = e.turn)
+        SELECT conv_id, turn, role, body, n_passages, parent_turn, thread_turn, depth::BIGINT AS depth,
+               CASE WHEN conv_id IS NOT NULL THEN row_number() OVER (PARTITION BY conv_id ORDER BY thread_turn NULLS FIRST, turn NULLS FIRST, role NULLS FIRST, md5(body)) END AS reply_order
+        FROM all_rows"""
+
 ORACLE_SQL = {
+    "op5_chat": QUOTATIONS,
     "op6_mixing": r"""
         WITH sized AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents),
         sizes AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source),
