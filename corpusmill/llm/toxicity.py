@@ -8,8 +8,9 @@ grades 1 and up split the toxic ones by how many features they hold that few cle
 the sample do and several toxic ones do.
 
 The model is fitted on the driver from at most `sample` labelled texts, half of them toxic,
-chosen by hash; words outside the sample weigh nothing, so the model that executors get is
-bounded too. Scoring covers every text whole.
+chosen by hash, one of each id, and none whose words and counts take over LONGEST_SAMPLED
+characters; it has at most MOST_FEATURES features, so what the driver gets and what it
+sends is bounded. Scoring covers every text whole.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ from pyspark.sql import functions as F
 
 WORD = re.compile(r"\w+")
 SAMPLE = 6000
+#: Characters of a sampled text's distinct words and their counts.
+LONGEST_SAMPLED = 1 << 16
 #: Shorter texts count as this long: few words are no sign of either kind.
 SHORT = 50
 #: Lengths of first letters.
@@ -76,9 +79,12 @@ def sampled(docs: DataFrame, labels: DataFrame, sample: int) -> tuple[list[str],
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([packed_words(t.as_py()) for t in b.column(0)], pa.string()), b.column(1)], names=["words", "toxic"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([packed_words(t.as_py()) for t in b.column(1)], pa.string()), b.column(2)], names=["doc_id", "words", "toxic"])
 
-    rows = docs.select("doc_id", "text").join(chosen, "doc_id").select("text", "toxic").mapInArrow(run, "words string, toxic int").collect()
+    texts = docs.select("doc_id", "text").join(chosen, "doc_id").select("doc_id", "text", "toxic")
+    packed = texts.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, words string, toxic int").where(F.length("words") <= LONGEST_SAMPLED)
+    # However many rows have an id, one of its texts comes to the driver.
+    rows = packed.groupBy("doc_id").agg(F.min(F.struct("words", "toxic")).alias("one")).select("one.*").collect()
     once = sorted({(r.words, r.toxic) for r in rows})
     return [w for w, _ in once], np.array([t for _, t in once], dtype=np.int64)
 
@@ -112,6 +118,24 @@ def graded(counts: np.ndarray, toxic: np.ndarray, grades: int) -> np.ndarray:
     return np.where(toxic == 1, 1 + np.searchsorted(cuts, counts, side="left"), 0)
 
 
+def likelihood(p: np.ndarray, k: int, flat: np.ndarray, value: np.ndarray, row: np.ndarray, y: np.ndarray, share: np.ndarray) -> tuple[float, np.ndarray]:
+    """Weighted negative log-likelihood of grades y and its gradient.
+
+    p: weights, then k thresholds; flat, value, row: feature, value and text of every feature
+    that a text holds; share: what each text weighs.
+    """
+    v, n = len(p) - k, len(y)
+    at = np.arange(n)
+    logistic = lambda z: 1 / (1 + np.exp(-np.clip(z, -40, 40)))
+    score = np.bincount(row, weights=value * p[:v][flat], minlength=n)
+    c = np.concatenate([np.zeros((n, 1)), logistic(p[v:] - score[:, None]), np.ones((n, 1))], axis=1)
+    hi, lo = c[at, y + 1], c[at, y]
+    between = np.maximum(hi - lo, 1e-9)
+    up, down = share / between * hi * (1 - hi), share / between * lo * (1 - lo)
+    g_t = [down[y == j + 1].sum() - up[y == j].sum() for j in range(k)]
+    return float(-(share * np.log(between)).sum()), np.concatenate([np.bincount(flat, weights=value * (up - down)[row], minlength=v), g_t])
+
+
 def fit(texts: list[str], toxic: np.ndarray, grades: int = 3, penalty: float = PENALTY, rounds: int = 600) -> tuple[dict[str, float], list[float]]:
     """Weights of words and thresholds of the cumulative-link model.
 
@@ -139,17 +163,8 @@ def fit(texts: list[str], toxic: np.ndarray, grades: int = 3, penalty: float = P
     flat, value, row = np.concatenate(flat), np.concatenate(value), np.repeat(np.arange(len(y)), lengths)
     n, k, v = len(y), grades - 1, len(names)
     share = np.where(y > 0, 0.5 / (y > 0).sum(), 0.5 / (y == 0).sum())
-    logistic = lambda z: 1 / (1 + np.exp(-np.clip(z, -40, 40)))
-    at = np.arange(n)
 
-    def gradient(p: np.ndarray) -> np.ndarray:
-        score = np.bincount(row, weights=value * p[:v][flat], minlength=n)
-        c = np.concatenate([np.zeros((n, 1)), logistic(p[v:] - score[:, None]), np.ones((n, 1))], axis=1)
-        hi, lo = c[at, y + 1], c[at, y]
-        pull = share / np.maximum(hi - lo, 1e-9)
-        up, down = pull * hi * (1 - hi), pull * lo * (1 - lo)
-        g_t = [down[y == j + 1].sum() - up[y == j].sum() for j in range(k)]
-        return np.concatenate([np.bincount(flat, weights=value * (up - down)[row], minlength=v), g_t])
+    gradient = lambda p: likelihood(p, k, flat, value, row, y, share)[1]
 
     # The curvature along scores and thresholds is at most 1 for each; power iteration gives the largest.
     z = np.ones(v + 1)
@@ -194,13 +209,14 @@ def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, grades: i
     model = docs.sparkSession.sparkContext.broadcast((weights, thresholds))
     # Other columns travel in a struct, so their names cannot clash.
     others = [c for c in docs.columns if c not in ("severity", "toxic")]
-    packed = docs.select(F.col("text"), F.struct(*others).alias("row"))
+    packed = docs.select(F.struct(*others).alias("row"))
+    at = others.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w, t = model.value
         for b in batches:
-            severity = [expected_severity(text_words(x.as_py()), w, t) for x in b.column(0)]
-            yield pa.RecordBatch.from_arrays([b.column(1), pa.array(severity, pa.float64())], names=["row", "severity"])
+            severity = [expected_severity(text_words(x.as_py()), w, t) for x in b.column(0).field(at)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(severity, pa.float64())], names=["row", "severity"])
 
     out = packed.mapInArrow(run, f"row {dict(packed.dtypes)['row']}, severity double")
     return out.select("row.*", "severity", (F.col("severity") >= reject).alias("toxic"))
