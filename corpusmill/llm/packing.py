@@ -36,8 +36,6 @@ BATCH_TOKENS = 1 << 20
 STEP_TOKENS = 64 * CONTEXT
 #: Bytes of text tokenized at once; few enough to stay in a core's cache between passes.
 TEXT_BYTES = 1 << 16
-#: Bytes of documents, as Spark estimates them, that one task packs in order.
-TASK_BYTES = 16 << 20
 
 PIECE = tuple[int, int, int]  # document's place in the batch, start, length
 
@@ -203,7 +201,8 @@ def pack(docs: DataFrame, tokenizer: str, context: int = CONTEXT, tiers: tuple[i
     kinds = [f"doc_id {id_type}", *(f"{c} bigint" for c in NAMES[1:9]), *(["ids array<int>"] if with_ids else [])]
     read = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"), *(c.alias(f"order_{k}") for k, c in enumerate(order or [])))
     if order:
-        tasks = max(1, -(-int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) // TASK_BYTES))
+        # As many ranges as docs come in.
+        tasks = max(1, docs.rdd.getNumPartitions())
         along = [f"order_{k}" for k in range(len(order))]
         read = read.repartitionByRange(tasks, *along).sortWithinPartitions(*along).select("doc_id", "text")
     return read.mapInArrow(run, ", ".join(kinds))
