@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections import Counter
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -12,10 +13,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
+from corpusmill.operators.hamming import exact_layout, pairs, with_neighbours
 from corpusmill.sources.store import remove, written
 
 WIDTH, CAP = 4, 50
-BANDS, BAND_BITS = 4, 16
 RUN = re.compile(r"[\w一-鿌]+")
 WORDS_PATTERN = r"[\p{L}\p{N}_]+"
 
@@ -61,34 +62,42 @@ def ngrams(docs: DataFrame) -> DataFrame:
 def edges(prints: DataFrame, radius: int = 3) -> DataFrame:
     """Pairs of distinct fingerprints within `radius` (3 at most) bits: earlier, later (their seq).
 
-    prints: seq, fp with one row for each fp. Three differing bits leave one of the four
-    bands alone, so pairs that agree in a band are all that need a look.
+    prints: seq, fp with one row for each fp.
     """
-    bands = F.explode(F.array(*(F.struct(F.lit(b).alias("band"), F.shiftrightunsigned("fp", BAND_BITS * b).bitwiseAND((1 << BAND_BITS) - 1).alias("value")) for b in range(BANDS)))).alias("b")
-    rows = prints.select("seq", "fp", bands).select("seq", "fp", "b.*")
-    right = rows.select(F.col("seq").alias("seq2"), F.col("fp").alias("fp2"), "band", "value")
-    return rows.join(right, ["band", "value"]).where((F.col("seq") < F.col("seq2")) & (hamming(F.col("fp"), F.col("fp2")) <= radius)).select(F.col("seq").alias("earlier"), F.col("seq2").alias("later")).distinct()
+    return pairs(prints, exact_layout(prints.count(), radius), radius)
 
 
 def near_dup_kept(articles: DataFrame, radius: int = 3) -> DataFrame:
     """Articles that are not within `radius` bits of an earlier one that was kept.
 
-    articles: seq (a total order), fp and any others. What is dropped drops nothing itself,
-    so the kept set is the first maximal independent set in order. Equal fingerprints are
-    settled first: all but the earliest go. Each round keeps what has no undecided earlier
-    neighbour, drops that's neighbours, and writes the rest of the graph to the shared folder.
+    articles: seq (a total order: a number or a struct of numbers), fp and any others. What is
+    dropped drops nothing itself, so the kept set is the first maximal independent set in
+    order. Equal fingerprints are settled first: all but the earliest go. Each round keeps
+    what has no undecided earlier neighbour and drops what has one of these before it; only
+    the rest, what still has neighbours, goes to the next round. Neighbours are looked up
+    anew each time, so pairs are never listed.
     """
     spark = articles.sparkSession
-    firsts, _ = written(articles.groupBy("fp").agg(F.min("seq").alias("seq")), "fingerprints")
-    graph, path = written(edges(firsts, radius), "edges")
-    dropped, dropped_path = written(graph.select(F.col("later").alias("seq")).limit(0), "dropped")
-    while not graph.isEmpty():
-        kept = graph.select(F.col("earlier").alias("k")).distinct().join(graph.select(F.col("later").alias("k")).distinct(), "k", "left_anti")
-        gone = graph.join(kept, graph["earlier"] == kept["k"]).select(F.col("later").alias("seq")).distinct()
-        all_gone, all_path = written(dropped.union(gone), "dropped")
-        left = graph.join(all_gone, graph["later"] == all_gone["seq"], "left_anti").join(all_gone, graph["earlier"] == all_gone["seq"], "left_anti")
-        graph_new, path_new = written(left, "edges")
-        remove(spark, path)
-        remove(spark, dropped_path)
-        graph, path, dropped, dropped_path = graph_new, path_new, all_gone, all_path
-    return articles.join(firsts.join(dropped, "seq", "left_anti").select("seq"), "seq", "left_semi")
+    firsts, firsts_path = written(articles.groupBy("fp").agg(F.min("seq").alias("seq")), "fingerprints")
+    picks = exact_layout(firsts.count(), radius)
+    left, left_path = firsts, None
+    lost = []
+    while True:
+        found = with_neighbours(left.withColumn("judge", F.lit(False)), picks, radius).groupBy("fp").agg(F.bool_or("earlier").alias("earlier"))
+        # Fingerprints without a neighbour are kept and play no further part.
+        open_, open_path = written(left.join(found, "fp").select("fp", "seq", (~F.col("earlier")).alias("judge")), "undecided")
+        if left_path:
+            remove(spark, left_path)
+        if open_.isEmpty():
+            remove(spark, open_path)
+            break
+        gone, gone_path = written(with_neighbours(open_, picks, radius).where("judged").select("fp").distinct(), "near-copies")
+        lost.append((gone, gone_path))
+        left, left_path = written(open_.where("not judge").join(gone, "fp", "left_anti").select("fp", "seq"), "undecided")
+        remove(spark, open_path)
+    kept = firsts
+    if lost:
+        dropped = reduce(DataFrame.union, (gone for gone, _ in lost))
+        kept, _ = written(firsts.join(dropped, "fp", "left_anti"), "kept-fingerprints")
+        remove(spark, firsts_path, *(path for _, path in lost))
+    return articles.join(kept.select("seq"), "seq", "left_semi")
