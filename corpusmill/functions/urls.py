@@ -43,7 +43,8 @@ def is_tracking(key: Column) -> Column:
 def canonicalize_url(url: Column) -> Column:
     """Lower-case scheme (https if there is none) and host, no default port, no tracking or empty
     parameters, the rest sorted, single slashes, no trailing slash but the root's, no fragment."""
-    url = F.regexp_replace(url, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
+    # Leading control characters, and tabs and line ends anywhere, are no part of a URL.
+    url = F.regexp_replace(url, r"(?U)^[\s\x00-\x1f]+|[\s\x1c-\x1f]+$|[\t\r\n]", "")
     part = lambda k: F.regexp_extract(url, PARTS, k)
     scheme = F.coalesce(F.nullif(F.lower(part(1)), F.lit("")), F.lit("https"))
     host = F.lower(part(2))

@@ -4,15 +4,20 @@ from __future__ import annotations
 
 import json
 import math
+import re
+import threading
 import time
-from collections.abc import Callable, Iterable, Iterator, Mapping
+from collections.abc import Callable, Iterator, Mapping
 
 import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StringType, StructField, StructType
 
 from corpusmill.operators.qc import QcConfig, run_qc, source_text
+from corpusmill.sources.store import written
 
 # The prompt.
 PROMPT_VERSION = "1.2.0"
@@ -23,8 +28,25 @@ SYSTEM_PROMPT = """Bạn là biên tập viên báo chí tiếng Việt. Tóm t
 - Văn phong báo chí, trung lập, không cảm thán, không câu hỏi.
 - Giữ nguyên tên riêng, số liệu, ngày tháng đúng như bài gốc.
 - Nếu thông tin không đủ rõ, viết câu trung lập, KHÔNG bổ sung từ kiến thức ngoài."""
-PROMPT_HEAD = ("Tiêu đề: ", "\nChuyên mục: ", "\nNguồn: ", '\n\nNội dung:\n"""\n')
-PROMPT_TAIL = '\n"""\n\nTrả về JSON đúng schema:\n{\n  "summary": "...",\n  "key_entities": ["..."],\n  "confidence": 0.0,\n  "refusal_reason": null\n}'
+USER_PROMPT = '''Tiêu đề: {title}
+Chuyên mục: {category}
+Nguồn: {source}
+
+Nội dung:
+"""
+{content_text}
+"""
+
+Trả về JSON đúng schema:
+{
+  "summary": "...",
+  "key_entities": ["..."],
+  "confidence": 0.0,
+  "refusal_reason": null
+}'''
+# The model that is asked where none is named, and how it generates.
+MODELS = ("gemini-3.1-flash-lite",)
+GENERATION = {"temperature": 0.2, "top_p": 0.9, "max_output_tokens": 4096, "response_mime_type": "application/json"}
 
 #: A model call: (system prompt, user prompt) to the raw response.
 Generate = Callable[[str, str], str]
@@ -40,8 +62,10 @@ def truncated(content: Column, chars: int = CONTENT_CHARS) -> Column:
 
 def render_prompt(title: Column, category: Column, source: Column, content: Column, chars: int = CONTENT_CHARS) -> Column:
     some = lambda c: F.coalesce(c, F.lit(""))
-    values = (some(title), some(category), some(source), truncated(some(content), chars))
-    return F.concat(*(x for head, value in zip(PROMPT_HEAD, values, strict=True) for x in (F.lit(head), value)), F.lit(PROMPT_TAIL))
+    values = {"title": some(title), "category": some(category), "source": some(source), "content_text": truncated(some(content), chars)}
+    # Literal text stands at even places, names of values at odd ones.
+    parts = re.split("{(" + "|".join(values) + ")}", USER_PROMPT)
+    return F.concat(*(values[x] if k % 2 else F.lit(x) for k, x in enumerate(parts)))
 
 
 def parse_label(raw: str | None) -> dict:
@@ -89,8 +113,8 @@ def parse_labels(raw: pd.Series) -> pd.DataFrame:
 
 # Words of an error message that tell its kind, looked for in this order.
 ERROR_KINDS = (
-    ("transient", ("429", "quota", "rate limit", "resource_exhausted", "503", "unavailable", "500", "internal", "deadline", "timeout")),
-    ("unavailable", ("404", "not found", "not_found", "invalid", "unsupported")),
+    ("transient", ("429", "resource has been exhausted", "quota", "rate limit", "rate_limit", "too many requests", "deadline", "unavailable", "internal", "timeout", "503", "500")),
+    ("unavailable", ("not found", "does not exist", "invalid")),
 )
 
 
@@ -107,22 +131,31 @@ class TransientLabelError(LabelError):
     pass
 
 
+#: Held while a labeler takes its turn; not part of it, since labelers travel to tasks.
+TURN = threading.Lock()
+
+
 class RotatingLabeler:
     """Calls models with keys in turn.
 
     call(model, key, system, user) returns text. Transient errors go to the next key, an
     unavailable model to the next model, others end the call; if all fail and any was
-    transient, the whole is tried again up to `attempts` times, after 2 to 60 seconds.
+    transient, the whole is tried again up to `attempts` times, after 2 to 60 seconds. Threads
+    share one turn; a task starts with a key of its own, so tasks do not all start with the first.
     """
 
     def __init__(self, call: Callable[[str, str, str, str], str | None], keys: list[str], models: list[str], attempts: int = 6, sleep: Callable[[float], None] = time.sleep):
         if not keys:
             raise ValueError("no API key")
-        self.call, self.keys, self.models, self.attempts, self.sleep, self.at = call, keys, models, attempts, sleep, 0
+        self.call, self.keys, self.models, self.attempts, self.sleep, self.at = call, list(keys), list(models), attempts, sleep, None
 
     def in_turn(self) -> list[str]:
-        start = self.at % len(self.keys)
-        self.at += 1
+        with TURN:
+            if self.at is None:
+                context = TaskContext.get()
+                self.at = context.partitionId() if context else 0
+            start = self.at % len(self.keys)
+            self.at += 1
         return self.keys[start:] + self.keys[:start]
 
     def once(self, system: str, user: str) -> str:
@@ -164,36 +197,46 @@ def api_keys(env: Mapping[str, str]) -> list[str]:
     return many or one
 
 
+def gemini_call(model: str, key: str, system: str, user: str) -> str | None:
+    """One call of the hosted models; the client library must be installed where tasks run."""
+    from google import genai
+
+    found = genai.Client(api_key=key).models.generate_content(model=model, contents=f"{system}\n\n{user}", config=GENERATION)
+    return found.text
+
+
 def call_model(prompts: DataFrame, generate: Generate) -> DataFrame:
     """prompts(..., user_prompt) with raw and call_error; an error of a call is its row's error."""
-    others = [f for f in prompts.schema.fields]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in others) + ", raw string, call_error string"
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in prompts.schema.fields)
 
-    def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
             raw, errors = [], []
-            for user in frame["user_prompt"]:
+            for user in b.column("user_prompt"):
                 try:
-                    raw.append(generate(SYSTEM_PROMPT, user))
+                    raw.append(generate(SYSTEM_PROMPT, user.as_py()))
                     errors.append(None)
                 except (LabelError, ValueError) as e:
                     raw.append(None)
                     errors.append(str(e))
-            yield frame.assign(raw=raw, call_error=errors)
+            yield b.append_column("raw", pa.array(raw, pa.string())).append_column("call_error", pa.array(errors, pa.string()))
 
-    return prompts.mapInPandas(run, schema)
+    return prompts.mapInArrow(run, columns + ", raw string, call_error string")
 
 
 def label_rows(rows: DataFrame, generate: Generate, concurrency: int = 5, limit: int | None = None, cfg: QcConfig = QcConfig()) -> DataFrame:
-    """rows(article_id, title, category, source, content_text, ...) with the seven label columns.
+    """rows(article_id, title, category, source, content_text, ...) with the seven label columns, by article_id.
 
-    At most `concurrency` calls run at once. Label columns that exist are replaced. Failed
-    calls and bad responses give rows that failed quality control with the reason.
+    At most `concurrency` calls run at once. Answers are written before anything reads them,
+    so however often the result is computed, a row's model is asked once; only a task that
+    fails asks again. Label columns that exist are replaced. Failed calls and bad responses
+    give rows that failed quality control with the reason.
     """
     if limit is not None:
         rows = rows.orderBy("article_id").limit(limit)
-    prompts = rows.repartition(concurrency).withColumn("user_prompt", render_prompt(F.col("title"), F.col("category"), F.col("source"), F.col("content_text")))
-    called = call_model(prompts, generate).withColumn("_l", parse_labels("raw"))
+    prompts = rows.repartition(max(concurrency, 1)).withColumn("user_prompt", render_prompt(F.col("title"), F.col("category"), F.col("source"), F.col("content_text")))
+    answers, _ = written(call_model(prompts, generate), "answers")
+    called = answers.withColumn("_l", parse_labels("raw"))
     error = F.coalesce("call_error", "_l.error")
     fields = {"summary": F.regexp_replace("_l.summary", r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", ""), "key_entities": F.col("_l.key_entities"), "confidence": F.col("_l.confidence"), "refusal_reason": F.coalesce("call_error", "_l.refusal_reason"), "_error": error, "source_text": source_text(F.col("title"), F.col("content_text"))}
     checked = run_qc(called.withColumns(fields), cfg)
@@ -201,4 +244,4 @@ def label_rows(rows: DataFrame, generate: Generate, concurrency: int = 5, limit:
     failed = F.struct(F.lit(False).alias("passed"), F.array(F.concat(F.lit("label_error:"), F.col("_error"))).alias("reasons"), *(F.lit(None).alias(c) for c in ("word_count", "sentence_count", "missing_numbers", "missing_entities"))).cast(kind)
     bad = F.col("_error").isNotNull()
     out = checked.withColumns({"qc_passed": F.col("qc_passed") & ~bad, "qc_details": F.when(bad, failed).otherwise(F.col("qc_details")), "prompt_version": F.lit(PROMPT_VERSION)})
-    return out.drop("user_prompt", "raw", "call_error", "_l", "_error", "source_text")
+    return out.drop("user_prompt", "raw", "call_error", "_l", "_error", "source_text").orderBy("article_id")

@@ -39,18 +39,22 @@ def q_category_from_url(spark, d):
     return pages(spark, d).select("page_id", urls.category_from_url(F.col("url")).alias("category"))
 
 
-RAW = ("thời sự", "kinh-doanh", "xa-hoi", "", "unknown", "the", "a", "THỂ THAO hôm nay", "en", "suc khoe va doi song", "The Gioi")
-DATES = ("Mon, 01 Jan 2024 10:00:00 +0700", "Mon, 01 Jan 2024 10:00:00 -0000", "2024-01-01", "2024-01-01T10:00:00Z", "Tue, 5 Mar 2024 23:59:59 GMT", "05 Mar 2024 01:02:03 +0530", "rubbish")
-
-
 def q_canonical_category(spark, d):
-    rows = spark.createDataFrame([(k, x) for k, x in enumerate(RAW)], "id int, raw string")
-    return rows.select("id", urls.canonical_category(F.col("raw")).alias("category"))
+    raw = urls.category_from_url(F.col("url"))
+    return pages(spark, d).select("page_id", raw.alias("raw"), urls.canonical_category(raw).alias("category"))
 
 
 def q_rfc2822_dates(spark, d):
-    rows = spark.createDataFrame([(k, x) for k, x in enumerate(DATES)], "id int, raw string")
-    return rows.select("id", F.date_format(dates.to_utc(F.col("raw")), "yyyy-MM-dd HH:mm:ss").alias("utc"))
+    """Times of events written with four zones, by user, and read back."""
+    zone = F.element_at(F.array(*map(F.lit, ZONES)), (F.col("user_id") % len(ZONES) + 1).cast("int"))
+    day = F.element_at(F.array(*map(F.lit, DAYS)), F.weekday("ts") + 1)
+    raw = F.concat_ws(" ", F.concat(day, F.lit(",")), F.date_format("ts", "dd MMM yyyy HH:mm:ss"), zone)
+    return table(spark, d, "events").select("event_id", F.date_format(dates.to_utc(raw), "yyyy-MM-dd HH:mm:ss").alias("utc"))
+
+
+DAYS = ("Mon", "Tue", "Wed", "Thu", "Fri", "Sat", "Sun")
+#: Zones and the minutes they are ahead.
+ZONES = {"+0700": 420, "-0000": 0, "GMT": 0, "+0530": 330}
 
 
 def crawled(spark: SparkSession, d: str, limit: int | None = None, outages: bool = False):
@@ -96,8 +100,8 @@ def q_summary_response(spark, d):
 
 
 def q_events_dedupe(spark, d):
-    events = table(spark, d, "events").select("user_id", "event_type")
-    return first_by_key(events, ["user_id", "event_type"], "ts")
+    events = table(spark, d, "events").select("event_id", "user_id", "event_type", "ts")
+    return first_by_key(events, ["user_id", "event_type"], "ts", tie="event_id").select("event_id", "user_id", "event_type")
 
 
 QUERIES = {k.removeprefix("q_"): v for k, v in list(globals().items()) if k.startswith("q_")}
@@ -109,25 +113,22 @@ KEPT = f"array_to_string(list_transform(list_sort(list_filter({PAIRS}, lambda p:
 PATH = "regexp_replace(coalesce(nullif(regexp_extract(url, '^[a-zA-Z]+://[^/?#]*([^?#]*)', 1), ''), '/'), '/{2,}', '/', 'g')"
 CANON = f"""lower(regexp_extract(url, '^[a-zA-Z]+://[^/?#]*')) || CASE WHEN {PATH} <> '/' THEN regexp_replace({PATH}, '/$', '') ELSE {PATH} END || CASE WHEN {KEPT} <> '' THEN '?' || {KEPT} ELSE '' END"""
 URLS = f"(SELECT page_id, {CANON} AS url FROM pages)"
-CATEGORY = "CASE WHEN raw = '' THEN NULL " + " ".join("WHEN " + " OR ".join(f"contains(lower(raw), '{a}') OR contains('{a}', lower(raw))" for a in aliases) + f" THEN '{key}'" for key, aliases in urls.CATEGORIES.items()) + " END"
+FROM_URL = r"lower(replace(nullif(regexp_extract(url, '^[^/]*//[^/]*/(?:/)?([\p{L}\p{N}_\-]+)/', 1), ''), '-', '_'))"
+CATEGORY = "CASE WHEN coalesce(raw, '') = '' THEN NULL " + " ".join("WHEN " + " OR ".join(f"contains(lower(raw), '{a}') OR contains('{a}', lower(raw))" for a in aliases) + f" THEN '{key}'" for key, aliases in urls.CATEGORIES.items()) + " END"
 NAMES = "[" + ", ".join(f"'{s[0]}'" for s in feeds.SOURCES if s[3]) + "]"
 
 
-def values(rows: tuple[str, ...]) -> str:
-    return "(VALUES " + ", ".join(f"({k}::INT, '{x}')" for k, x in enumerate(rows)) + ")"
-
-
 ORACLE_SQL = {
     "canonical_url": f"SELECT page_id, url FROM {URLS}",
     "url_hash": f"SELECT page_id, sha256(url)[1:32] AS hash FROM {URLS}",
     "tracking_param_counts": f"SELECT p.k AS k, {TRACKED.format('p.k')} AS tracking, count(*) AS n FROM (SELECT unnest({PAIRS}) AS p FROM pages) GROUP BY ALL",
     "url_first_wins": f"SELECT page_id, url, row_number() OVER (PARTITION BY url ORDER BY page_id) = 1 AS is_first FROM {URLS}",
-    "category_from_url": r"SELECT page_id, lower(replace(nullif(regexp_extract(url, '^[^/]*//[^/]*/(?:/)?([\p{L}\p{N}_\-]+)/', 1), ''), '-', '_')) AS category FROM pages",
-    "canonical_category": f"SELECT id, {CATEGORY} AS category FROM {values(RAW)} t(id, raw)",
-    "rfc2822_dates": f"SELECT id, strftime(try_strptime(CASE WHEN raw LIKE '%GMT' THEN replace(raw, 'GMT', '+0000') ELSE raw END, ['%a, %d %b %Y %H:%M:%S %z', '%d %b %Y %H:%M:%S %z'])::TIMESTAMPTZ AT TIME ZONE 'UTC', '%Y-%m-%d %H:%M:%S') AS utc FROM {values(DATES)} t(id, raw)",
+    "category_from_url": f"SELECT page_id, {FROM_URL} AS category FROM pages",
+    "canonical_category": f"SELECT page_id, raw, {CATEGORY} AS category FROM (SELECT page_id, {FROM_URL} AS raw FROM pages)",
+    "rfc2822_dates": f"SELECT event_id, strftime(date_trunc('second', ts) - to_minutes(({list(ZONES.values())})[user_id % {len(ZONES)} + 1]), '%Y-%m-%d %H:%M:%S') AS utc FROM events",
     "crawl_discovered": f"""
         WITH u AS (SELECT p.page_id, c.url, ({NAMES})[p.page_id % 7 + 1] AS source, p.page_id % 7 AS pos FROM pages p JOIN {URLS} c USING (page_id)),
         f AS (SELECT *, row_number() OVER (PARTITION BY url ORDER BY pos, page_id) = 1 AS is_first, min(page_id) OVER (PARTITION BY url) AS i FROM u)
         SELECT source, count(*) AS discovered, count(*) FILTER (WHERE is_first AND i % 10 <> 9) AS fetched, count(*) FILTER (WHERE is_first AND i % 10 = 9) AS fetch_failed FROM f GROUP BY source""",
-    "events_dedupe": "SELECT DISTINCT user_id, event_type FROM events",
+    "events_dedupe": "SELECT event_id, user_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) = 1",
 }

@@ -11,12 +11,12 @@ from corpusmill.sources.store import table
 
 
 def labelled(spark: SparkSession, d: str) -> DataFrame:
-    """documents as labelled articles; the flag is null where there is no label."""
+    """documents as labelled articles, first line as title, last as summary; the flag is null where there is no label."""
     docs, labels = table(spark, d, "documents"), table(spark, d, "labels")
     return docs.join(labels.select("doc_id", "quality"), "doc_id", "left").select(
         F.col("doc_id").alias("article_id"), "source", F.lit(None).cast("string").alias("category"),
         F.substring_index("text", "\n", 1).alias("title"), F.col("text").alias("content_text"),
-        F.substring("text", 1, 200).alias("summary"), (F.col("quality") == 1).alias("qc_passed"),
+        F.substring_index("text", "\n", -1).alias("summary"), (F.col("quality") == 1).alias("qc_passed"),
     )
 
 
@@ -41,7 +41,7 @@ QUERIES = {"split_counts": q_split_counts, "split_assign": q_split_assign, "data
 
 BYTE = "('0x' || sha256('vn-news-v1:' || doc_id)[1:2])::INT"
 BUCKET = f"CASE WHEN {BYTE} < 26 THEN 'test' WHEN {BYTE} < 52 THEN 'val' ELSE 'train' END"
-LABELLED = "(SELECT d.*, l.quality FROM documents d LEFT JOIN labels l USING (doc_id) WHERE (quality IS NULL OR quality = 1) AND text <> '')"
+LABELLED = "(SELECT d.*, l.quality FROM documents d LEFT JOIN labels l USING (doc_id) WHERE (quality IS NULL OR quality = 1) AND text <> '' AND split_part(text, chr(10), -1) <> '')"
 
 ORACLE_SQL = {
     "split_counts": f"""
@@ -50,7 +50,7 @@ ORACLE_SQL = {
     "split_assign": f"SELECT doc_id, {BYTE} AS first_byte, {BUCKET} AS split FROM documents",
     "dataset_record": f"""
         SELECT doc_id AS article_id, source, '' AS url, split_part(text, chr(10), 1) AS title, NULL::VARCHAR AS category,
-               NULL::VARCHAR AS published_at, text AS content_text, text[1:200] AS summary, '' AS prompt_version, {BUCKET} AS split
+               NULL::VARCHAR AS published_at, text AS content_text, split_part(text, chr(10), -1) AS summary, '' AS prompt_version, {BUCKET} AS split
         FROM {LABELLED}""",
     "qc_null_kept_filter": """
         SELECT quality IS NULL AS unlabelled, count(*) AS n FROM documents LEFT JOIN labels USING (doc_id)

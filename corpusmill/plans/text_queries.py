@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusmill.functions import text as T
 from corpusmill.operators import labeling, near_dup, qc, rouge, summarize
-from corpusmill.sources.store import dealt, table
+from corpusmill.sources.store import dealt, table, written
 
 
 def docs(spark: SparkSession, d: str) -> DataFrame:
@@ -22,12 +24,9 @@ def q_normalize_text(spark, d):
     return dealt(docs(spark, d)).select("doc_id", F.md5(T.normalize_text(F.col("text"))).alias("digest"))
 
 
-LINES = ("Đọc thêm: bài liên quan", "  XEM THÊM tại đây", "Tags: a, b", "tag: x", "Từ khóa: y", "Chia sẻ bài viết", "Liên quan: z", "Nội dung chính", "Bài đọc thêm", "tu khoa: w", "Thông tin tags: q")
-
-
 def q_boilerplate_lines(spark, d):
-    rows = spark.createDataFrame([(k, x) for k, x in enumerate(LINES)], "id int, line string")
-    return rows.select("id", T.is_boilerplate(F.col("line")).alias("boilerplate"))
+    lines = F.split("text", "\n")
+    return docs(spark, d).select("doc_id", F.size(lines).cast("bigint").alias("n_lines"), F.size(F.filter(lines, T.is_boilerplate)).cast("bigint").alias("n_boilerplate"))
 
 
 def q_min_words_50(spark, d):
@@ -40,11 +39,17 @@ def q_top_n_per_source(spark, d):
 
 
 def q_dense_article_id(spark, d):
-    """Ranks over the whole order by way of offsets for each range of ids, so no task holds all rows."""
-    kept = docs(spark, d).where(T.word_count(F.col("text")) >= 50).select("doc_id", F.floor(F.col("doc_id") / 1024).alias("range"))
-    base = kept.groupBy("range").agg(F.count("*").alias("n")).select("range", F.coalesce(F.sum("n").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
+    """Ranks over the whole order by way of offsets of ranges of bounded size, so no task holds all rows."""
+    kept, _ = written(docs(spark, d).where(T.word_count(F.col("text")) >= 50).select("doc_id"), "ids")
+    ranges = max(1, -(-kept.count() // RANGE_ROWS))
+    placed, _ = written(kept.repartitionByRange(ranges, "doc_id").withColumn("range", F.spark_partition_id()), "ranged-ids")
+    base = placed.groupBy("range").agg(F.count("*").alias("n")).select("range", F.coalesce(F.sum("n").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
     rank = F.row_number().over(Window.partitionBy("range").orderBy("doc_id"))
-    return kept.withColumn("r", rank).join(base, "range").select("doc_id", (F.col("base") + F.col("r")).alias("article_id"))
+    return placed.withColumn("r", rank).join(base, "range").select("doc_id", (F.col("base") + F.col("r")).alias("article_id"))
+
+
+#: Ids that one task ranks.
+RANGE_ROWS = 1_000_000
 
 
 def q_sentence_counts(spark, d):
@@ -60,8 +65,14 @@ def q_entities(spark, d):
 
 
 def summaries(spark, d):
-    """The first 300 characters as summary of the text after the first 100."""
-    return dealt(docs(spark, d)).select(F.col("doc_id").alias("article_id"), F.substring("text", 1, 300).alias("summary"), F.expr("substring(text, 101)").alias("source_text"), F.when(F.col("doc_id") % 50 == 0, "not news").alias("refusal_reason"))
+    """First, middle and last sentence of each text as its summary; the source is the text without the last one.
+
+    Together they read every sentence, and what only the last one holds is unsupported.
+    """
+    parts = dealt(docs(spark, d)).select("doc_id", T.sentences(F.col("text")).alias("s")).withColumn("n", F.size("s"))
+    chosen = F.array_compact(F.array(F.get("s", 0), F.get("s", F.floor(F.col("n") / 2).cast("int")), F.get("s", F.col("n") - 1)))
+    rest = F.slice("s", F.lit(1), F.greatest(F.col("n") - 1, F.lit(0)))
+    return parts.select(F.col("doc_id").alias("article_id"), F.array_join(chosen, " ").alias("summary"), F.array_join(rest, " ").alias("source_text"), F.when(F.col("doc_id") % 50 == 0, "not news").alias("refusal_reason"))
 
 
 def q_unsupported_numbers(spark, d):
@@ -118,16 +129,12 @@ def q_prompt_render(spark, d):
     return docs(spark, d).select("doc_id", F.md5(prompt).alias("digest"), F.length(prompt).cast("bigint").alias("chars"))
 
 
-RAW = ('{"summary":"Tin A.","key_entities":["VN"],"confidence":0.9,"refusal_reason":null}', '{"summary":"X.","key_entities":[],"confidence":95.0}', '{"summary":null,"key_entities":[],"confidence":0.0,"refusal_reason":"not news"}', "not json", "[1]", '{"summary":5,"key_entities":[],"confidence":0.1}', '{"summary":"A","key_entities":null,"confidence":0.1}', '{"summary":"A","key_entities":[],"confidence":-0.1}')
-
-
 def q_parse_label_json(spark, d):
-    rows = spark.createDataFrame([(k, x) for k, x in enumerate(RAW)], "id int, raw string").select("id", labeling.parse_labels("raw").alias("p"))
-    return rows.select("id", "p.summary", F.array_join("p.key_entities", ",").alias("names"), "p.confidence", F.col("p.error").isNotNull().alias("failed"))
-
-
-def pairs(spark, d):
-    return docs(spark, d).select(F.col("doc_id").alias("id"), F.substring("text", 1, 400).alias("prediction"), F.substring("text", 101, 400).alias("reference"))
+    """Responses made of every document: some bad, some refusing, some with a confidence above 1."""
+    good = F.to_json(F.struct(F.col("text").alias("summary"), F.array("lang", "source").alias("key_entities"), (F.col("n_chars") / 2000).alias("confidence"), F.when(F.col("doc_id") % 5 == 0, "not news").alias("refusal_reason")))
+    raw = F.when(F.col("doc_id") % 7 == 0, F.concat(F.lit("{"), "text")).when(F.col("doc_id") % 11 == 0, F.concat(F.lit("["), good, F.lit("]"))).otherwise(good)
+    rows = dealt(docs(spark, d)).select("doc_id", raw.alias("raw")).select("doc_id", labeling.parse_labels("raw").alias("p"))
+    return rows.select("doc_id", F.md5("p.summary").alias("summary"), F.array_join("p.key_entities", ",").alias("names"), "p.confidence", F.when(F.col("p.error").isNull(), F.col("p.refusal_reason")).alias("refusal"), F.col("p.error").isNotNull().alias("failed"))
 
 
 def halves(spark, d):
@@ -137,25 +144,17 @@ def halves(spark, d):
 
 
 def q_rouge1(spark, d):
-    return rouge.mean_f(rouge.rouge_n(pairs(spark, d), 1), "rouge1").select(F.round("rouge1", 9).alias("rouge1"))
+    return rouge.mean_f(rouge.rouge_n(halves(spark, d), 1), "rouge1").select(F.round("rouge1", 9).alias("rouge1"))
 
 
 def q_rouge2(spark, d):
-    return rouge.mean_f(rouge.rouge_n(pairs(spark, d), 2), "rouge2").select(F.round("rouge2", 9).alias("rouge2"))
+    return rouge.mean_f(rouge.rouge_n(halves(spark, d), 2), "rouge2").select(F.round("rouge2", 9).alias("rouge2"))
 
 
 def q_rouge_l(spark, d):
     return rouge.rouge_l(halves(spark, d)).select("id", F.round("f", 9).alias("f"))
 
 
-def q_rouge1_full(spark, d):
-    return rouge.mean_f(rouge.rouge_n(halves(spark, d), 1), "rouge1").select(F.round("rouge1", 9).alias("rouge1"))
-
-
-def q_rouge2_full(spark, d):
-    return rouge.mean_f(rouge.rouge_n(halves(spark, d), 2), "rouge2").select(F.round("rouge2", 9).alias("rouge2"))
-
-
 def q_summarize(spark, d):
     return docs(spark, d).select("doc_id", summarize.summarizer()(F.col("text")).alias("summary"))
 
@@ -163,15 +162,14 @@ def q_summarize(spark, d):
 def q_call_labeler(spark, d):
     """The label stage with a model that answers from the prompt alone."""
     rows = docs(spark, d).select(F.col("doc_id").alias("article_id"), F.lit("").alias("title"), F.lit(None).cast("string").alias("category"), "source", F.col("text").alias("content_text"))
-    out = labeling.label_rows(rows, first_line_model)
-    return out.select("article_id", F.length("summary").cast("bigint").alias("chars"), "confidence", "qc_passed", "prompt_version")
-
+    out = labeling.label_rows(rows, both_ends_model)
+    return out.select("article_id", F.md5("summary").alias("summary"), "confidence", "prompt_version")
 
-def first_line_model(system: str, user: str) -> str:
-    import json
 
-    body = user.split('"""')[1].strip()
-    return json.dumps({"summary": body[:300], "key_entities": [], "confidence": 0.5, "refusal_reason": None})
+def both_ends_model(system: str, user: str) -> str:
+    """The first and last 25 words of the content."""
+    body = user.split('"""\n', 1)[1].rsplit('\n"""', 1)[0].split()
+    return json.dumps({"summary": " ".join(body[:25] + body[-25:]), "key_entities": [], "confidence": 0.5, "refusal_reason": None})
 
 
 QUERIES = {k.removeprefix("q_"): v for k, v in list(globals().items()) if k.startswith("q_")}
@@ -184,7 +182,8 @@ NAME_RE = rf"[{T.CAPITALS}][\p{{L}}\p{{N}}_À-ỹ]*"
 #: Distinct elements in order of first appearance.
 NAMES = rf"(SELECT list(n ORDER BY k) FROM (SELECT n, min(k) AS k FROM (SELECT unnest(a) AS n, generate_subscripts(a, 1) AS k FROM (SELECT list_transform(regexp_extract_all(text, '{NAME_RE}(?:{S}+{NAME_RE})+'), lambda x: x) AS a)) GROUP BY n))"
 COLLAPSED = r"trim(regexp_replace({0}, '[\s\-–—.,;:()\[\]{{}}/]+', ' ', 'g'))"
-SUMMARY = "SELECT doc_id AS article_id, text[1:300] AS text, substring(text, 101) AS src, doc_id % 50 = 0 AS refused FROM documents"
+SUMMARY = f"""SELECT doc_id AS article_id, array_to_string(list_filter([s[1], s[n // 2 + 1], s[n]], lambda x: x IS NOT NULL), ' ') AS text, array_to_string(s[1:n - 1], ' ') AS src, refused
+    FROM (SELECT *, len(s) AS n FROM (SELECT doc_id, {SENTENCES} AS s, doc_id % 50 = 0 AS refused FROM documents))"""
 REASONS = f"""
     SELECT article_id, concat_ws(';', CASE WHEN refused THEN 'llm_refusal:not news' END, CASE WHEN w < 40 THEN 'too_short:' || w || '<40' END, CASE WHEN w > 90 THEN 'too_long:' || w || '>90' END,
            CASE WHEN n < 2 THEN 'too_few_sentences:' || n || '<2' END, CASE WHEN n > 4 THEN 'too_many_sentences:' || n || '>4' END) AS reasons
@@ -199,7 +198,7 @@ PRINTS = f"""
         SELECT doc_id, (sum(CASE WHEN 2 * v > total THEN CASE WHEN i = 63 THEN -(2::HUGEINT ** 63)::HUGEINT ELSE (1::HUGEINT << i) END ELSE 0 END))::BIGINT AS fp
         FROM (SELECT doc_id, i, sum(CASE WHEN get_bit(h, (63 - i)::INT) = 1 THEN weight ELSE 0 END) AS v, sum(weight) AS total
               FROM (SELECT doc_id, weight, ('0x' || md5(gram)[17:32])::UBIGINT::BIT AS h, unnest(range(64)) AS i FROM ({GRAMS})) GROUP BY doc_id, i) GROUP BY doc_id) p USING (doc_id)"""
-PROMPT = "'Tiêu đề: ' || split_part(text, chr(10), 1) || chr(10) || 'Chuyên mục: ' || chr(10) || 'Nguồn: ' || source || chr(10) || chr(10) || 'Nội dung:' || chr(10) || '\"\"\"' || chr(10) || body || '" + labeling.PROMPT_TAIL + "'"
+PROMPT = "'Tiêu đề: ' || split_part(text, chr(10), 1) || chr(10) || 'Chuyên mục: ' || chr(10) || 'Nguồn: ' || source || chr(10) || chr(10) || 'Nội dung:' || chr(10) || '\"\"\"' || chr(10) || body || '" + labeling.USER_PROMPT.partition("{content_text}")[2] + "'"
 BODY = "CASE WHEN length(text) > 6000 THEN CASE WHEN contains(text[1:6000], ' ') THEN regexp_extract(text[1:6000], '(?s)^(.*) ', 1) ELSE text[1:6000] END || ' [...]' ELSE text END"
 
 
@@ -207,21 +206,17 @@ def rouge_sql(n: int) -> str:
     gram = "w" if n == 1 else f"list_transform(range(1, len(w) - {n - 2}), lambda i: array_to_string(w[i:i + {n - 1}], ' '))"
     return f"""
         WITH s AS (SELECT doc_id, side, unnest({gram}) AS gram FROM (
-            SELECT doc_id, 0 AS side, regexp_extract_all(lower(text[1:400]), '[a-z0-9]+') AS w FROM documents
-            UNION ALL SELECT doc_id, 1, regexp_extract_all(lower(text[101:500]), '[a-z0-9]+') FROM documents)),
+            SELECT doc_id, 0 AS side, regexp_extract_all(lower(text[1:length(text) // 2]), '[a-z0-9]+') AS w FROM documents
+            UNION ALL SELECT doc_id, 1, regexp_extract_all(lower(substring(text, length(text) // 2 + 1)), '[a-z0-9]+') FROM documents)),
         c AS (SELECT doc_id, gram, count(*) FILTER (WHERE side = 0) AS p, count(*) FILTER (WHERE side = 1) AS r FROM s GROUP BY ALL),
         f AS (SELECT doc_id, CASE WHEN sum(least(p, r)) > 0 THEN 2.0::DOUBLE * sum(least(p, r)) / (sum(p) + sum(r)) ELSE 0 END AS f FROM c GROUP BY ALL)
         SELECT round(sum(coalesce(f, 0)) / count(*), 9) AS rouge{n} FROM documents LEFT JOIN f USING (doc_id)"""
 
 
-def values(rows: tuple[str, ...]) -> str:
-    return "(VALUES " + ", ".join(f"({k}::INT, '{x}')" for k, x in enumerate(rows)) + ")"
-
-
 ORACLE_SQL = {
     "word_count": f"SELECT doc_id, len(regexp_extract_all(text, '{NS}+')) AS n FROM documents",
     "normalize_text": f"SELECT doc_id, md5(trim(regexp_replace(regexp_replace(nfc_normalize(text), '{BOILER}.*$', '', 'g'), '{S}+', ' ', 'g'))) AS digest FROM documents",
-    "boilerplate_lines": f"SELECT id, regexp_matches(line, '{BOILER}') AS boilerplate FROM {values(LINES)} t(id, line)",
+    "boilerplate_lines": f"SELECT doc_id, len(string_split(text, chr(10))) AS n_lines, len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '{BOILER}'))) AS n_boilerplate FROM documents",
     "min_words_50": f"SELECT count(*) AS n FROM documents WHERE len(regexp_extract_all(text, '{NS}+')) >= 50",
     "top_n_per_source": "SELECT source, doc_id, pos FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS pos FROM documents) WHERE pos <= 3",
     "dense_article_id": f"SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS article_id FROM documents WHERE len(regexp_extract_all(text, '{NS}+')) >= 50",
@@ -243,6 +238,20 @@ ORACLE_SQL = {
         SELECT a.seq AS earlier, b.seq AS later FROM p a JOIN p b ON a.seq < b.seq WHERE bit_count(xor(a.fp, b.fp)) <= 3""",
     "exact_dup_groups": "SELECT sha256(text) AS digest, count(*) AS copies, min(doc_id) AS first_id FROM documents GROUP BY 1 HAVING count(*) > 1",
     "prompt_render": f"SELECT doc_id, md5(p) AS digest, length(p) AS chars FROM (SELECT doc_id, {PROMPT} AS p FROM (SELECT *, {BODY} AS body FROM documents))",
+    "near_dup_kept": f"""
+        WITH RECURSIVE p AS (SELECT fp, min(doc_id) AS seq FROM ({PRINTS}) GROUP BY fp),
+        o AS MATERIALIZED (SELECT fp, seq, row_number() OVER (ORDER BY seq) AS n FROM p),
+        walk AS (SELECT 0::BIGINT AS n, []::BIGINT[] AS kept, NULL::BIGINT AS seq UNION ALL
+                 SELECT n, CASE WHEN near THEN kept ELSE list_append(kept, fp) END, CASE WHEN near THEN NULL ELSE seq END
+                 FROM (SELECT o.n, o.fp, o.seq, w.kept, len(list_filter(w.kept, lambda k: bit_count(xor(k, o.fp)) <= 3)) > 0 AS near FROM walk w JOIN o ON o.n = w.n + 1))
+        SELECT seq AS doc_id FROM walk WHERE seq IS NOT NULL""",
+    "parse_label_json": """
+        SELECT doc_id, md5(CASE WHEN bad THEN '' ELSE text END) AS summary, CASE WHEN bad THEN '' ELSE lang || ',' || source END AS names,
+               CASE WHEN bad THEN 0::DOUBLE ELSE least(n_chars::DOUBLE / 2000, 1::DOUBLE) END AS confidence, CASE WHEN NOT bad AND doc_id % 5 = 0 THEN 'not news' END AS refusal, bad AS failed
+        FROM (SELECT *, doc_id % 7 = 0 OR doc_id % 11 = 0 AS bad FROM documents)""",
+    "call_labeler": rf"""
+        SELECT doc_id AS article_id, md5(array_to_string(list_concat(w[:25], w[greatest(len(w) - 24, 1):]), ' ')) AS summary, 0.5::DOUBLE AS confidence, '{labeling.PROMPT_VERSION}' AS prompt_version
+        FROM (SELECT doc_id, regexp_extract_all(body, '{NS}+') AS w FROM (SELECT doc_id, {BODY} AS body FROM documents))""",
     "rouge1": rouge_sql(1),
     "rouge2": rouge_sql(2),
 }

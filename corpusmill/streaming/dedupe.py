@@ -6,10 +6,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def first_by_key(stream: DataFrame, keys: list[str], time: str, delay: str = "10 minutes") -> DataFrame:
-    """Rows whose keys were not seen within the watermark; state is bounded by it."""
+def first_by_key(stream: DataFrame, keys: list[str], time: str, delay: str = "10 minutes", tie: str | None = None) -> DataFrame:
+    """Rows whose keys were not seen within the watermark; state is bounded by it.
+
+    Of a stream the first to arrive stays; of a table the one of the least time, ties by the
+    column `tie`, then by the rest of the row.
+    """
     if not stream.isStreaming:
-        return stream.dropDuplicates(keys)
+        others = [c for c in stream.columns if c not in keys]
+        order = F.struct(time, *([tie] if tie else []), *(c for c in others if c not in (time, tie)))
+        return stream.groupBy(*keys).agg(F.min_by(F.struct(*others), order).alias("_first")).select(*keys, "_first.*").select(*stream.columns)
     return stream.withWatermark(time, delay).dropDuplicatesWithinWatermark(keys)
 
 

@@ -2,20 +2,25 @@
 
 import itertools
 import json
+import os
 import random
 import re
+import threading
+import urllib.request
+import uuid
 from collections import Counter
+from difflib import SequenceMatcher
 
 import pytest
 from pyspark.sql import functions as F
 
-from corpusmill import cli
+from corpusmill import cli, server
 from corpusmill.functions import dates, text, urls
 from corpusmill.functions.html import extract
 from corpusmill.functions.splits import first_hash_byte, split_bucket
-from corpusmill.operators import crawl, dataset, labeling, near_dup, qc, rouge, summarize
+from corpusmill.operators import crawl, dataset, hamming, labeling, near_dup, qc, rouge, summarize
 from corpusmill.plans import page_queries, text_queries
-from corpusmill.sources import feeds, jsonl
+from corpusmill.sources import feeds, fetch, jsonl, store
 from corpusmill.sources.store import importable
 from corpusmill.streaming import dedupe
 
@@ -206,7 +211,7 @@ def test_crawl(spark):
     assert [(r.article_id, r.url) for r in got.collect()] == [(1, "https://vnexpress.net/bai-1.html")] and crawl.to_record(got).first().published_at == "2024-01-01T03:00:00+00:00"
     stats = {r.source: r for r in crawl.crawl_stats(outcomes, conf).collect()}
     assert len(stats) == 7 and stats["znews"].discovered == 0 and stats["znews"].errors == []
-    assert (stats["vnexpress"].discovered, stats["vnexpress"].fetched, stats["vnexpress"].fetch_failed, stats["vnexpress"].errors) == (2, 1, 1, ["timeout"])
+    assert (stats["vnexpress"].discovered, stats["vnexpress"].fetched, stats["vnexpress"].fetch_failed, stats["vnexpress"].errors) == (2, 1, 1, ["https://vnexpress.net/the-thao/b.html: timeout"])
     assert (stats["tuoitre"].discovered, stats["tuoitre"].fetched, stats["tuoitre"].skipped_duplicate) == (3, 1, 3)
     assert crawl.crawl(found, pages, limit=0)[0].count() == 0
     capped = crawl.candidates(feeds.parse_feeds(bodies), conf.withColumn("max_items_per_feed", F.lit(1)))
@@ -231,7 +236,7 @@ def test_feed_cap_and_fetch_errors(spark):
     assert {(r.source, r.feed_pos): r["count"] for r in found.groupBy("source", "feed_pos").count().collect()} == {("tuoitre", 0): 2, ("tuoitre", 1): 2, ("vnexpress", 0): 3, ("vnexpress", 1): 3}
     pages = found.select("url", F.lit(article(60, "f")).alias("html"), F.when(F.col("source") == "tuoitre", "timeout").alias("error"))
     stats = {r.source: r for r in crawl.crawl_stats(crawl.crawl(found, pages)[1], conf).collect()}
-    assert (stats["tuoitre"].fetch_failed, stats["tuoitre"].errors, stats["vnexpress"].fetched) == (4, ["timeout"] * 4, 6)
+    assert (stats["tuoitre"].fetch_failed, stats["tuoitre"].errors, stats["vnexpress"].fetched) == (4, [f"https://a.com/tuoitre{f}{k}: timeout" for f in (0, 1) for k in (0, 1)], 6)
 
 
 def test_robots(spark):
@@ -277,7 +282,7 @@ def test_rouge_queries_read_whole_texts(spark, tmp_path):
 
     got = {r.id: r.f for r in text_queries.q_rouge_l(spark, str(tmp_path)).collect()}
     assert got == pytest.approx({k: f(longest(*sides(t)), *sides(t)) for k, t in enumerate(texts)}, abs=1e-8)
-    for n, q in ((1, text_queries.q_rouge1_full), (2, text_queries.q_rouge2_full)):
+    for n, q in ((1, text_queries.q_rouge1), (2, text_queries.q_rouge2)):
         assert q(spark, str(tmp_path)).first()[0] == pytest.approx(sum(of_grams(t, n) for t in texts) / len(texts), abs=1e-8)
 
 
@@ -299,10 +304,272 @@ def test_jsonl_and_cli(spark, tmp_path, monkeypatch):
     jsonl.write_jsonl(rows, str(tmp_path / "in.jsonl"))
     assert '"category":null' in next((tmp_path / "in.jsonl").glob("part-*")).read_text()
     assert cli.main(["split", "--input", str(tmp_path / "in.jsonl"), "--output", str(tmp_path / "out")], spark) == 0
-    assert sum(jsonl.read_jsonl(spark, str(tmp_path / "out" / s), cli.ARTICLES).count() for s in ("train", "val", "test")) == 30
+    assert sum(jsonl.read_jsonl(spark, str(tmp_path / "out" / f"{s}.jsonl"), cli.ARTICLES).count() for s in ("train", "val", "test")) == 30
     assert cli.main(["split", "--input", str(tmp_path / "in.jsonl"), "--output", str(tmp_path / "o2"), "--check-v2-counts"], spark) == 1
-    assert [cli.valid_output(p) for p in ("data.jsonl", "data_x.jsonl", "a/data.jsonl", "data.txt", "x.jsonl")] == [True, True, False, False, False]
-    assert cli.main(["crawl", "--output", "x/y", "--feeds", "f", "--pages", "p"], spark) == 2
+    assert jsonl.read_splits(spark, str(tmp_path / "out"), ("train", "val", "test"), cli.ARTICLES).groupBy("split").count().count() == 3
+    jsonl.write_splits(dataset.split_rows(rows.where("article_id = 0")), str(tmp_path / "o3"), ("train", "val", "test"))
+    assert jsonl.read_jsonl(spark, str(tmp_path / "o3" / "val.jsonl"), cli.ARTICLES).count() == 0
+    assert [cli.flattened(p) for p in ("datarawarticles.jsonl", "DATA_x.JSONL", "data/raw/articles.jsonl", "data\\raw.jsonl", "data.txt", "x.jsonl")] == [True, True, False, False, False, False]
+    assert cli.main(["crawl", "--output", "datarawarticles.jsonl", "--feeds", "f", "--pages", "p"], spark) == 2
+
+
+def test_label_cli(spark, tmp_path, capsys):
+    rows = spark.createDataFrame([(i, "s", "u", "t", None, None, "x") for i in range(3)], cli.ARTICLES)
+    jsonl.write_jsonl(rows, str(tmp_path / "in.jsonl"))
+    jsonl.write_jsonl(rows.limit(0), str(tmp_path / "none.jsonl"))
+    run = lambda name: cli.main(["label", "--input", str(tmp_path / name), "--output", str(tmp_path / "out.jsonl"), "--labeler", "corpusmill.plans.text_queries:both_ends_model"], spark)
+    assert run("in.jsonl") == 0 and "labeled=3 qc_passed=0 qc_failed=3 prompt=1.2.0 model=" in capsys.readouterr().out
+    assert run("none.jsonl") == 1
+
+
+def test_crawl_cli_fetches(spark, tmp_path, monkeypatch, capsys):
+    """The whole crawl through an adapter: feeds, robots, pages, a failing host and a failing feed."""
+    feeds_of = {u: (200, RSS if "vnexpress.net/rss/thoi-su" in u else "") for s in feeds.SOURCES for u in s[5]}
+    answers = feeds_of | {"https://vnexpress.net/robots.txt": (200, "User-agent: *\nDisallow: /the-thao"), "https://vnexpress.net/bai-1.html": (200, article(80, "a"))}
+
+    def get(url, follow):
+        if url not in answers:
+            raise OSError("no such host")
+        return answers[url]
+
+    monkeypatch.setattr(fetch.Polite.__init__, "__defaults__", (get, 0.0, 0, *fetch.Polite.__init__.__defaults__[3:]))
+    articles, outcomes, chosen = cli.crawled(spark, None, None, ["vnexpress"], None, get)
+    assert [r.url for r in articles.collect()] == ["https://vnexpress.net/bai-1.html"]
+    row = crawl.crawl_stats(outcomes, chosen).where("source = 'vnexpress'").first()
+    assert (row.discovered, row.fetched, row.skipped_robots, row.extracted, row.errors) == (2, 1, 1, 1, [])
+    assert cli.article_limit("demo", None) == 5 and cli.article_limit("labeling", None) is None and cli.article_limit("demo", 2) == 2
+
+
+def test_politeness():
+    now, waits, calls = [0.0], [], []
+
+    def sleep(seconds):
+        waits.append(seconds)
+        now[0] += seconds
+
+    def get(url, follow):
+        calls.append(url)
+        n = calls.count(url)
+        if "busy" in url and n < 3:
+            return (429 if n == 1 else 503), ""
+        if "gone" in url:
+            return 404, "not here"
+        if "down" in url:
+            raise OSError("refused")
+        return 200, "ok"
+
+    polite = fetch.Polite(get, sleep=sleep, clock=lambda: now[0])
+    assert polite("https://a/1") == "ok" and waits == []
+    assert polite("https://a/gone") == "not here" and 1 <= waits[0] < 1.06
+    assert polite("https://b/busy") == "ok" and waits[1:] == [1, 2]
+    with pytest.raises(OSError, match="refused"):
+        polite("https://c/down")
+    assert calls.count("https://c/down") == 4 and waits[3:] == [1, 2, 4]
+
+
+def test_fetch_and_robots_tables(spark):
+    def get(url, follow):
+        if "bad" in url:
+            raise OSError("bad host")
+        return (404, "x") if "a.com/robots" in url else (200, f"body of {url} {follow}")
+
+    rows = spark.createDataFrame([("https://a.com/1", 1), ("https://bad.com/2", 2), (None, 3), ("https://a.com/1", 4)], "url string, k int")
+    got = {r.k: (r.body, r.error) for r in fetch.fetch(rows, lambda: fetch.Polite(get, delay=0, retries=0)).collect()}
+    assert got[1] == got[4] == ("body of https://a.com/1 True", None) and got[2] == (None, "bad host") and len(got) == 4
+    assert {r.host: r.body for r in fetch.fetch_robots(rows, get).collect()} == {"a.com": "", "bad.com": ""}
+
+
+def test_limit_ends_the_crawl_with_true_counters(spark):
+    conf = feeds.sources(spark)
+    link = "<item><link>https://{0}.com/{1}</link><title>T{1}</title></item>"
+    bodies = spark.createDataFrame([(s, 0, "<rss><channel>" + "".join(link.format(s, k) for k in range(4)) + "</channel></rss>") for s in ("vnexpress", "tuoitre", "thanhnien")], "source string, feed_pos int, body string")
+    found = crawl.candidates(feeds.parse_feeds(bodies), conf)
+    bad = F.col("url").isin("https://vnexpress.com/1")
+    html = F.concat(F.lit("<article>"), F.array_join(F.transform(F.sequence(F.lit(1), F.lit(70)), lambda k: F.md5(F.concat("url", k.cast("string")))), " "), F.lit("</article>"))
+    pages = found.select("url", F.when(~bad, html).alias("html"), F.when(bad, "timeout").alias("error"))
+
+    def counters(limit):
+        got, outcomes = crawl.crawl(found, pages, limit=limit)
+        return got.count(), {r.source: (r.discovered, r.fetched, r.extracted, r.fetch_failed) for r in crawl.crawl_stats(outcomes, conf).collect()}
+
+    none = (0, 0, 0, 0)
+    n, c = counters(2)
+    assert n == 2 and c["vnexpress"] == (4, 2, 2, 1) and c["tuoitre"] == none
+    # The third article is its source's last candidate: the next source's feeds are read before the end is noticed.
+    n, c = counters(3)
+    assert n == 3 and c["vnexpress"] == (4, 3, 3, 1) and c["tuoitre"] == (4, 0, 0, 0) and c["thanhnien"] == none
+    n, c = counters(0)
+    assert n == 0 and c["vnexpress"] == (4, 0, 0, 0) and c["tuoitre"] == none
+    n, c = counters(100)
+    assert n == 11 and c["thanhnien"] == (4, 4, 4, 0)
+
+
+def test_malformed_feeds_keep_what_comes_before_the_fault():
+    good = "<item><link>https://a.com/1</link><title>A &nbsp; B & C</title></item>"
+    assert [e["title"] for e in feeds.entries_of(f"<?xml version='1.0' encoding='utf-16'?><rss><channel>{good}<item><link>x</link></channel>")] == ["A \xa0 B & C"]
+    assert feeds.entries_of("") == feeds.entries_of(None) == feeds.entries_of("no xml") == [] and len(feeds.entries_of(f"<rss>{good}{good}".encode())) == 2
+
+
+def test_titles_are_normalised(spark):
+    conf = feeds.sources(spark)
+    bodies = spark.createDataFrame([("vnexpress", 0, "<rss><item><link>https://a.com/1</link><title>  Tin \n  e\u0301 </title></item></rss>")], "source string, feed_pos int, body string")
+    found = crawl.candidates(feeds.parse_feeds(bodies), conf)
+    assert found.first().title == "Tin \u00e9"
+    page = "<html><head><title>Bài  e\u0301 </title><meta property='article:published_time' content='Mon, 01 Jan 2024 10:00:00 +0700'></head>" + article(60, "q")[6:]
+    pages = spark.createDataFrame([("https://a.com/1", page.replace("<title>T</title>", ""), None)], "url string, html string, error string")
+    row = crawl.crawl(found, pages)[0].first()
+    assert row.title == "Bài \u00e9" and row.published_at == "2024-01-01T03:00:00+00:00"
+
+
+def test_boilerplate_goes_before_words_are_counted():
+    lead = "<p>Đọc thêm: " + "w " * 60 + "</p>"
+    body = "<article>" + lead + "<p>" + "a " * 20 + "</p></article><p>" + "b " * 45 + "</p>"
+    assert extract(body)["content_text"] == " ".join(["a"] * 20 + ["b"] * 45)
+    assert extract(lead)["content_text"] is None
+
+
+def test_urls_without_tabs_and_line_ends(spark):
+    cases(spark, urls.canonicalize_url, {"https://a.com/x\ty\n?q=1\r2": "https://a.com/xy?q=12", "\x00\x01 https://a.com/": "https://a.com/"})
+
+
+def test_error_kinds():
+    for message, kind in (("429", "transient"), ("Resource has been exhausted", "transient"), ("Too Many Requests", "transient"), ("rate_limit", "transient"), ("model does not exist", "unavailable"), ("invalid argument", "unavailable"), ("404", "fatal"), ("unsupported", "fatal"), ("INTERNAL invalid", "transient")):
+        assert labeling.error_kind(message) == kind
+
+
+def test_each_row_is_labelled_once(spark, tmp_path):
+    folder = str(tmp_path / "calls")
+    os.mkdir(folder)
+
+    def answer(system, user):
+        open(f"{folder}/{uuid.uuid4().hex}", "w").close()
+        names = f"Ông Trần{random.randint(0, 9)} Quốc nói. Bà Lê Thị Hoa{random.randint(0, 9)} đáp."
+        return json.dumps({"summary": names, "key_entities": [], "confidence": random.random(), "refusal_reason": None})
+
+    rows = spark.createDataFrame([(i, "t", None, "s", f"text {i}") for i in range(100)], "article_id bigint, title string, category string, source string, content_text string").repartition(7)
+    labeled = labeling.label_rows(rows, answer)
+    once, again = labeled.collect(), labeled.collect()
+    assert [r.article_id for r in once] == list(range(100)) and once == again and len(os.listdir(folder)) == 100
+
+
+def test_fuzzy_names_equal_all_windows(spark):
+    rng = random.Random(5)
+
+    def plain(a, b):
+        short, long = sorted((a, b), key=len)
+        return 100 * max(SequenceMatcher(None, long[i : i + len(short)], short, autojunk=False).ratio() for i in range(len(long) - len(short) + 1))
+
+    for _ in range(200):
+        a, b = ("".join(rng.choice("abcdé ") for _ in range(rng.randint(1, n))) for n in (8, 60))
+        assert qc.partial_ratio(a, b) == plain(a, b)
+        assert (qc.partial_ratio(a, b, 85) >= 85) == (plain(a, b) >= 85)
+    rows = spark.createDataFrame([(1, "Gặp ông Nguyên Van hôm nay.", "Gặp ông Nguyễn Văn Ánh hôm qua"), (2, "Gặp Zzzz Qqqq.", "không có ai"), (3, "không tên", "x"), (4, None, None)], "article_id int, summary string, source_text string").withColumn("refusal_reason", F.lit(None).cast("string"))
+    missing = {r.article_id: r.qc_details.missing_entities for r in qc.run_qc(rows).collect()}
+    assert missing[2] == ["Gặp Zzzz Qqqq"] and missing[3] == missing[4] == []
+
+
+def test_extractive_summaries():
+    text = "Cats chase mice at night. Dogs sleep all day. Mice fear cats at night. Cats and mice run at night. Completely unrelated words here."
+    for model in (summarize.lexrank, summarize.textrank):
+        (got,) = model([text], 2)
+        assert got.count(".") == 2 and "unrelated" not in got and "Dogs" not in got
+        assert model(["", "One.", "  "]) == ["", "One.", ""]
+
+
+def test_model_loading_falls_back_and_generates():
+    def broken():
+        raise RuntimeError("no adapter")
+
+    assert summarize.first_loaded(broken, lambda: "plain") == "plain" and summarize.first_loaded(lambda: "adapter", broken) == "adapter"
+    with pytest.raises(RuntimeError, match="adapter"):
+        summarize.first_loaded(broken, broken)
+    seen = {}
+
+    class Model:
+        def eval(self):
+            pass
+
+        def generate(self, **options):
+            seen.update(options)
+            return options["ids"]
+
+    class Tokenizer:
+        def __call__(self, texts, **options):
+            seen.update(options)
+            return {"ids": texts}
+
+        def batch_decode(self, out, skip_special_tokens):
+            return [x.upper() for x in out]
+
+    assert summarize.generating(Model(), Tokenizer(), summarize.Generation())(["a", "b"]) == ["A", "B"]
+    assert (seen["num_beams"], seen["max_new_tokens"], seen["no_repeat_ngram_size"], seen["max_length"], seen["truncation"]) == (4, 128, 3, 1024, True)
+
+
+def test_tokenised_pairs_and_padding(spark):
+    rows = spark.createDataFrame([("a b c d", "x y"), (None, "z"), ("", None)], "content_text string, summary string").withColumn("url", F.lit("u"))
+    got = summarize.tokenized(rows, lambda: lambda texts: [[len(w) for w in t.split()] for t in texts], max_input=3, max_target=1)
+    assert got.columns == ["input_ids", "attention_mask", "labels"]
+    assert sorted(map(tuple, got.collect())) == [([], [], []), ([], [], [1]), ([1, 1, 1], [1, 1, 1], [1])]
+    assert spark.createDataFrame([([1, -100, 0],)], "i array<int>").select(summarize.padded(F.col("i"), 7)).first()[0] == [1, 7, 0]
+    assert summarize.manual_article(spark, "text").first().content_text == "text"
+
+
+def test_http_answers(spark):
+    articles = spark.createDataFrame([(2, "B", "S", "u2", None, "beta"), (1, "A", "S", "u1", None, "alpha")], "article_id bigint, title string, source_name string, url string, published_at string, content_text string")
+    ask = lambda method, path, found=articles, summary=F.upper: server.answer(method, path, lambda n: found.limit(n), summary)
+    assert ask("GET", "/healthz")[:2] == (200, "application/json") and "up to 5" in ask("GET", "/")[2]
+    status, _, body = ask("POST", "/api/summarize-today")
+    assert status == 200 and [(x["title"], x["summary"], x["source"]) for x in json.loads(body)["items"]] == [("A", "ALPHA", "S"), ("B", "BETA", "S")] and json.loads(body)["total"] == 2
+    assert ask("POST", "/api/summarize-today", articles.limit(0))[0] == 502 and ask("GET", "/nothing")[0] == 404
+    assert ask("POST", "/api/summarize-today", summary=lambda c: F.raise_error(F.lit("no model")))[0] == 500
+    with server.server(lambda n: articles, F.upper, 0) as s:
+        threading.Thread(target=s.serve_forever, daemon=True).start()
+        with urllib.request.urlopen(f"http://127.0.0.1:{s.server_port}/healthz") as r:
+            assert json.load(r)["status"] == "ok"
+        s.shutdown()
+
+
+def test_first_by_key_of_a_table_is_the_earliest(spark):
+    rows = spark.createDataFrame([(k, k % 3, 100 - k) for k in range(30)], "id int, user int, ts int")
+    assert {(r.user, r.id) for r in dedupe.first_by_key(rows, ["user"], "ts").collect()} == {(0, 27), (1, 28), (2, 29)}
+
+
+def test_shared_folder(spark, monkeypatch):
+    assert store.work_dir(spark)
+
+    class Context:
+        master, applicationId = "spark://host:7077", "a"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+
+        class conf:
+            @staticmethod
+            def get(key, default=None):
+                return default
+
+    with pytest.raises(ValueError, match="checkpoint"):
+        store.work_dir(Session())
+
+
+@pytest.mark.parametrize("n", [1, 10**7, 10**10])
+def test_near_copies_with_keys_of_any_length(spark, monkeypatch, n):
+    monkeypatch.setattr(near_dup, "exact_layout", lambda _, radius: hamming.exact_layout(n, radius))
+    rng = random.Random(n)
+    fps = [rng.getrandbits(64) - 2**63 for _ in range(40)]
+    fps += [fp ^ (1 << rng.randrange(63)) ^ (1 << rng.randrange(63)) for fp in fps for _ in range(4)] + fps[:20]
+    df = spark.createDataFrame([(k // 50, k % 50, fp) for k, fp in enumerate(fps)], "a int, b int, fp bigint").select(F.struct("a", "b").alias("seq"), "fp")
+    want = [k for k, keep in enumerate(brute_kept(fps)) if keep]
+    assert sorted(50 * r.seq.a + r.seq.b for r in near_dup.near_dup_kept(df).collect()) == want
+    once = {}
+    for k, fp in enumerate(fps):
+        once.setdefault(fp, k)
+    pairs = sorted((i, j) for (f, i), (g, j) in itertools.permutations(once.items(), 2) if i < j and ((f ^ g) & (2**64 - 1)).bit_count() <= 3)
+    flat = df.groupBy("fp").agg(F.min(F.col("seq.a") * 50 + F.col("seq.b")).alias("seq"))
+    assert sorted(map(tuple, near_dup.edges(flat).collect())) == pairs
 
 
 def test_streaming(spark, tmp_path):
