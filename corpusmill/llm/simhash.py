@@ -21,8 +21,6 @@ only: their texts meet again in blocks, and two link if their shingle sets are a
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
-from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +30,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.operators.blocks import Forest, grouped, groups, in_blocks
 from corpusmill.llm.components import components
+from corpusmill.operators.hamming import exact_layout, shard_keys
 from corpusmill.sources.store import remove, written
 
 #: XXH64 seed of the shingle hash.
@@ -42,8 +41,6 @@ SHARD_ROWS = 2048
 VERIFY_ROWS = 512
 #: Shingles whose hashes are held before they are counted.
 HELD = 200_000
-#: Comparisons that cost as much as one row of a table: dealing it out and sorting it.
-ROW_COST = 16
 ONES = np.uint64(0x0101010101010101)
 
 
@@ -170,26 +167,6 @@ def layout(n: int, lanes: int, similarity: float, recall: float) -> list[np.ndar
     return [rng.choice(64 * lanes, bits, replace=False) for _ in range(tables)]
 
 
-def exact_layout(n: int, radius: int = 3) -> list[np.ndarray]:
-    """Keys for n one-lane fingerprints that any two within `radius` bits share one of.
-
-    64 bits in m blocks, of which `radius` differing bits touch as many at most: each choice
-    of m - radius blocks is a key. More blocks make longer keys, so fewer chance meetings, and
-    more tables; m is the number with the least work, a row of a table costing ROW_COST
-    comparisons.
-    """
-    m = min(range(radius + 1, 10), key=lambda m: comb(m, radius) * (ROW_COST + n / 2 ** (64 * (m - radius) // m)))
-    blocks = np.array_split(np.arange(64), m)
-    return [np.concatenate(kept) for kept in combinations(blocks, m - radius)]
-
-
-def shard_keys(fp: np.ndarray, picks: list[np.ndarray]) -> np.ndarray:
-    """Shard numbers of fingerprints (texts, lanes): int64 array (texts, tables)."""
-    bits = np.unpackbits(fp.astype("<u8").view(np.uint8), axis=1, bitorder="little").astype(np.int64)
-    keys = [bits[:, pick] @ (1 << np.arange(len(pick), dtype=np.int64)) for pick in picks]
-    return np.stack(keys, axis=1) * len(picks) + np.arange(len(picks))
-
-
 class BKTree:
     """A BK-tree of (fingerprint, index) under Hamming distance."""
 
