@@ -149,7 +149,7 @@ def pack(docs: DataFrame, tokenizer: str, context: int = CONTEXT, tiers: tuple[i
     id_type = dict(docs.dtypes)["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = word_tokenizer(tokenizer).encode
+        words = word_tokenizer(tokenizer)
         base = TaskContext.get().partitionId() << 32
         sequences = groups = 0
         held: dict[int, tuple[object, bytes]] = {}
@@ -186,7 +186,7 @@ def pack(docs: DataFrame, tokenizer: str, context: int = CONTEXT, tiers: tuple[i
             waiting = sum(shelves.tokens(t) for t in tiers)
 
         for ids, texts in portions(batches):
-            for doc_id, coded in zip(ids, encode(texts), strict=True):
+            for doc_id, coded in zip(ids, words.encode(texts), strict=True):
                 coded += end
                 n = len(coded) // 4
                 held[docs_seen] = (doc_id, coded)
@@ -196,6 +196,7 @@ def pack(docs: DataFrame, tokenizer: str, context: int = CONTEXT, tiers: tuple[i
                 waiting += n
                 if waiting >= BATCH_TOKENS:
                     yield from batch(False)
+        words.rest()
         yield from batch(True)
 
     kinds = [f"doc_id {id_type}", *(f"{c} bigint" for c in NAMES[1:9]), *(["ids array<int>"] if with_ids else [])]

@@ -52,6 +52,11 @@ class WordTokenizer:
         self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, dtype=bool)
         self.ends[[k for token, k in vocabulary.items() if token.endswith(END)]] = True
 
+    def rest(self) -> None:
+        """Give up all but the words met last: between tasks a worker holds little."""
+        self.words.old, self.parts.old = {}, {}
+        self.parts.clear()
+
     def ids_of(self, texts: list[str]) -> list[list[int]]:
         encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
         return [e.ids for e in encode(texts, add_special_tokens=False)]
