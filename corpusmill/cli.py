@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from corpusmill import server
 from corpusmill.functions.splits import SPLITS
-from corpusmill.functions.urls import canonicalize_url
+from corpusmill.functions.urls import PARTS, canonicalize_url
 from corpusmill.operators import crawl, dataset, labeling, qc, summarize
 from corpusmill.session import get_session
 from corpusmill.sources import feeds, fetch, jsonl
@@ -51,7 +51,8 @@ def article_limit(mode: str, limit: int | None) -> int | None:
 def crawled(spark: SparkSession, feeds_path: str | None, pages_path: str | None, only: list[str] | None, limit: int | None, get: fetch.Get = fetch.http_get) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Articles, outcomes and sources of a crawl of given tables, or of what get fetches where they are not given.
 
-    Fetched pages are those of all candidates, once each, in any order.
+    Pages are fetched once each, in any order; with a limit only those of as many candidates as
+    it takes, in growing heads.
     """
     chosen = feeds.enabled_sources(feeds.sources(spark), only)
     polite = lambda: fetch.Polite(get)
@@ -61,16 +62,24 @@ def crawled(spark: SparkSession, feeds_path: str | None, pages_path: str | None,
         urls_of = feeds.feed_urls(chosen).select("source", "feed_pos", F.col("feed_url").alias("url"))
         bodies, _ = written(fetch.fetch(urls_of, polite), "feeds")
     found, _ = written(crawl.candidates(feeds.parse_feeds(bodies.select("source", "feed_pos", "body")), chosen), "candidates")
-    robots = None
     if pages_path:
         pages = any_table(spark, pages_path, "url string, html string, error string").withColumn("url", canonicalize_url(F.col("url")))
-    else:
-        wanted = found.select("url").distinct()
-        robots, _ = written(fetch.fetch_robots(wanted, get), "robots")
-        allowed = crawl.with_robots(wanted, robots).where("allowed").select("url")
-        pages, _ = written(fetch.fetch(allowed, polite), "pages")
-        pages = pages.withColumnRenamed("body", "html")
-    return (*crawl.crawl(found, pages, robots, limit), chosen)
+        return (*crawl.crawl(found, pages, None, limit), chosen)
+    n = found.count()
+    head = n if limit is None else crawl.first_head(limit)
+    robots = pages = None
+    while True:
+        wanted = found.orderBy(*crawl.ORDER).limit(head).select("url").distinct()
+        if pages is not None:
+            wanted = wanted.join(pages.select("url"), "url", "left_anti")
+        rules, _ = written(fetch.fetch_robots(wanted if robots is None else wanted.join(robots, F.lower(F.regexp_extract("url", PARTS, 2)) == robots["host"], "left_anti"), get), "robots")
+        robots = rules if robots is None else robots.unionByName(rules)
+        fetched, _ = written(fetch.fetch(crawl.with_robots(wanted, robots).where("allowed").select("url"), polite).withColumnRenamed("body", "html"), "pages")
+        pages = fetched if pages is None else pages.unionByName(fetched)
+        articles, outcomes = crawl.crawl(found, pages, robots, limit)
+        if limit is None or head >= n or articles.count() >= limit:
+            return articles, outcomes, chosen
+        head *= 4
 
 
 def run_crawl(spark: SparkSession, a: argparse.Namespace) -> int:

@@ -84,7 +84,7 @@ def crawl(found: DataFrame, pages: DataFrame, robots: DataFrame | None = None, l
     """
     if limit is None:
         return crawl_all(found, pages, robots, agent)
-    head, n = max(64, 4 * limit), found.count()
+    head, n = first_head(limit), found.count()
     while True:
         some_, _ = written(found.orderBy(*ORDER).limit(head), "candidates")
         articles, outcomes = crawl_all(some_, pages, robots, agent)
@@ -103,6 +103,11 @@ def crawl(found: DataFrame, pages: DataFrame, robots: DataFrame | None = None, l
     return articles, reached.unionByName(others)
 
 
+def first_head(limit: int) -> int:
+    """Candidates that a crawl with a limit looks at first."""
+    return max(64, 4 * limit)
+
+
 def crawl_all(found: DataFrame, pages: DataFrame, robots: DataFrame | None, agent: str) -> tuple[DataFrame, DataFrame]:
     """crawl() without a limit; articles keep the crawl order's columns."""
     rows = first_of_url(found, ORDER)

@@ -322,6 +322,18 @@ def test_label_cli(spark, tmp_path, capsys):
     assert run("none.jsonl") == 1
 
 
+def local_fetch(rows, polite):
+    """fetch() on the driver, so that calls can be counted."""
+    call, out = polite(), []
+    for r in rows.collect():
+        try:
+            out.append((*r, call(r.url), None))
+        except OSError as e:
+            out.append((*r, None, str(e)))
+    columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields)
+    return rows.sparkSession.createDataFrame(out, columns + ", body string, error string")
+
+
 def test_crawl_cli_fetches(spark, tmp_path, monkeypatch, capsys):
     """The whole crawl through an adapter: feeds, robots, pages, a failing host and a failing feed."""
     feeds_of = {u: (200, RSS if "vnexpress.net/rss/thoi-su" in u else "") for s in feeds.SOURCES for u in s[5]}
@@ -337,6 +349,18 @@ def test_crawl_cli_fetches(spark, tmp_path, monkeypatch, capsys):
     assert [r.url for r in articles.collect()] == ["https://vnexpress.net/bai-1.html"]
     row = crawl.crawl_stats(outcomes, chosen).where("source = 'vnexpress'").first()
     assert (row.discovered, row.fetched, row.skipped_robots, row.extracted, row.errors) == (2, 1, 1, 1, [])
+    links = "".join(f"<item><link>https://h{k}.com/{k}</link><title>T</title></item>" for k in range(150))
+    asked = []
+
+    def count(url, follow):
+        asked.append(url)
+        return (200, f"<rss>{links}</rss>") if url == "https://vnexpress.net/rss/thoi-su.rss" else (200, article(80, url)) if "//h" in url and "robots" not in url else (404, "")
+
+    monkeypatch.setattr(fetch, "fetch", local_fetch)
+    monkeypatch.setattr(fetch, "fetch_robots", lambda pages, get: spark.createDataFrame([], "host string, body string"))
+    articles, outcomes, chosen = cli.crawled(spark, None, None, ["vnexpress"], 2, count)
+    assert articles.count() == 2 and sum("//h" in u for u in asked) == 64
+    assert crawl.crawl_stats(outcomes, chosen).where("source = 'vnexpress'").first().discovered == 150
     assert cli.article_limit("demo", None) == 5 and cli.article_limit("labeling", None) is None and cli.article_limit("demo", 2) == 2
 
 
