@@ -13,7 +13,9 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left, bisect_right
+from collections import Counter
 from collections.abc import Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -71,6 +73,11 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
 )
 
 
+def whole_texts() -> tuple[tuple[str, str], ...]:
+    """Whole licences, by their SPDX names. Only the driver reads the files."""
+    return tuple((f.stem, f.read_text()) for f in sorted(Path(__file__).with_name("licence_texts").glob("*.txt")))
+
+
 def bigrams(words: list[str]) -> frozenset[tuple[str, str]]:
     return frozenset(zip(words, words[1:], strict=False))
 
@@ -86,6 +93,10 @@ class Matcher:
         self.any = frozenset().union(*self.grams)
         self.lo = least / (2 - least)
         self.most = max(self.sizes, default=0) / self.lo
+        self.having: dict[tuple[str, str], list[int]] = {}
+        for k, template in enumerate(self.grams):
+            for g in template:
+                self.having.setdefault(g, []).append(k)
 
     def best(self, words: list[str]) -> tuple[float, str] | None:
         """The highest coefficient of at least `least` and its licence; ties by name."""
@@ -108,34 +119,44 @@ class Matcher:
         A run of the highest coefficient for a template starts and ends with one of its
         bigrams: without another one at an end the coefficient is no lower. Runs go from each
         place of such a bigram to later ones while its distinct bigrams keep the size bounds.
+
+        Without its first j words a run has at most j distinct bigrams less and none more of the
+        template's. So if no run from one place exceeds the coefficient d, none from less than
+        size * (1 - d / wanted) words later reaches a wanted one, and those places are passed by.
+        Runs are followed half a template beyond the bounds for that.
         """
-        grams = list(zip(words, words[1:], strict=False))
-        places = [i for i, g in enumerate(grams) if g in self.any]
-        if not places:
-            return
-        for k, template in enumerate(self.grams):
-            size, name = self.sizes[k], self.names[k]
-            at = [i for i in places if grams[i] in template]
-            # A run of at least `least` shares at least lo * size of the template's bigrams.
-            need = self.least * size / (2 - self.least) - 1e-9
-            most = len({grams[i] for i in at})
-            if most < need:
-                continue
+        found = Counter(k for g in self.any.intersection(zip(words, words[1:], strict=False)) for k in self.having[g])
+        # A run of at least `least` shares at least lo * size of the template's bigrams.
+        likely = sorted(k for k, n in found.items() if n >= self.lo * self.sizes[k] - 1e-9)
+        grams = list(zip(words, words[1:], strict=False)) if likely else []
+        for k in likely:
+            template, size, name = self.grams[k], self.sizes[k], self.names[k]
+            slack = size / 2
+            bound = size / self.lo + slack
+            at = [i for i, g in enumerate(grams) if g in template]
+            useful = 0.0
             for a, first in enumerate(at):
-                seen, shared, past = set(), 0, first
-                for last in at[a:]:
-                    for g in grams[past : last + 1]:
+                if best.get(name, 0) >= 1:
+                    break
+                if first < useful - 1e-6:
+                    continue
+                seen: set[tuple[str, str]] = set()
+                shared, past, highest, b = 0, first, 0.0, a
+                while b < len(at) and shared < found[k] and len(seen) <= bound:
+                    for i in range(past, at[b] + 1):
+                        g = grams[i]
                         if g not in seen:
                             seen.add(g)
                             shared += g in template
-                    past = last + 1
-                    if len(seen) > size / self.lo + 1e-9:
-                        break
-                    dice = 2 * shared / (len(seen) + size)
-                    if dice >= self.least and dice > best.get(name, 0):
-                        best[name] = dice
-                    if shared == most:
-                        break
+                            if len(seen) > bound:
+                                break
+                    else:
+                        past = at[b] + 1
+                        highest = max(highest, 2 * shared / (len(seen) + size))
+                        b += 1
+                if highest >= self.least and highest > best.get(name, 0):
+                    best[name] = highest
+                useful = first + min(slack, size * (1 - highest / max(self.least, best.get(name, 0))))
 
     def scan(self, text: str | None) -> list[tuple[str, float]]:
         """(licence, highest coefficient) of a text, by licence."""
@@ -168,14 +189,16 @@ class Matcher:
         return sorted(best.items())
 
 
-def scan_licences(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, least: float = LEAST) -> DataFrame:
+def scan_licences(docs: DataFrame, templates: tuple[tuple[str, str], ...] | None = None, least: float = LEAST) -> DataFrame:
     """Licences found in each document: doc_id, licences (array<struct<licence, dice>>), n_licences, best_licence, best_dice.
 
-    docs: doc_id, text and any others, which are ignored. Documents without a match, null
+    docs: doc_id, text and any others, which are ignored. templates: TEMPLATES and the whole
+    texts, if not given. Licences that differ in a few words (the GNU Affero licence from the
+    general one) are found as each other. Documents without a match, null
     and empty texts have an empty array, 0 and nulls. Ties for the best go to the first
     name. Null and repeated ids give rows of their own. An empty table gives no rows.
     """
-    matcher = Matcher(templates, least)
+    matcher = Matcher(TEMPLATES + whole_texts() if templates is None else templates, least)
     id_type = dict(docs.dtypes)["doc_id"]
     kind = pa.list_(pa.struct([("licence", pa.string()), ("dice", pa.float64())]))
 

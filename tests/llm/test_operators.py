@@ -350,6 +350,27 @@ def test_licences_inside_other_words():
     assert m.scan(plain) == []
 
 
+def test_whole_licences():
+    """Whole texts are found as they are, among other words and with some words changed; runs passed by lose nothing."""
+    whole, rng = dict(licences.whole_texts()), np.random.default_rng(8)
+    m, long = licences.Matcher(licences.TEMPLATES + licences.whole_texts(), 0.8), licences.Matcher(licences.whole_texts(), 0.8)
+    assert {"Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "MPL-2.0"} <= set(whole)
+    for name, text in whole.items():
+        assert dict(m.scan(f"{words(rng, 300)} {text} {words(rng, 300)}"))[name] == 1
+        w = licences.WORD.findall(text.lower())
+        for at in rng.choice(len(w), len(w) // 40, replace=False):
+            w[at] = f"w{at}"
+        got = dict(long.scan("\n".join([words(rng, 300), " ".join(w), words(rng, 300)])))
+        assert 0.8 <= got[name] < 1
+    assert m.scan(words(rng, 200_000)) == []
+    for _ in range(150):
+        small = licences.Matcher(tuple((x, " ".join(rng.choice(list("abcdefgh"), int(rng.integers(2, 14))))) for x in "ABCD"), 0.8)
+        w = list(rng.choice(list("abcdefgh"), int(rng.integers(2, 45))))
+        runs = [licences.bigrams(w[i:j]) for i in range(len(w)) for j in range(i + 2, len(w) + 1)]
+        want = {n: d for n, g in zip(small.names, small.grams, strict=True) if (d := max(2 * len(g & r) / (len(g) + len(r)) for r in runs)) >= 0.8}
+        assert dict(small.scan(" ".join(w))) == want
+
+
 def test_licence_size_bounds_lose_nothing():
     rng = np.random.default_rng(6)
     m = licences.Matcher(licences.TEMPLATES, 0.8)
