@@ -54,10 +54,11 @@ def hamming(a: Column, b: Column) -> Column:
 def ngrams(docs: DataFrame) -> DataFrame:
     """doc_id, gram, weight of every text, with Spark's own functions."""
     run = F.array_join(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(WORDS_PATTERN), 0), "")
-    # Characters as an array: a substring is found by counting from the text's beginning each time.
-    rows = docs.select("doc_id", run.alias("t")).where("t <> ''").select("doc_id", F.split("t", "").alias("c"))
-    starts = F.sequence(F.lit(1), F.greatest(F.size("c") - (WIDTH - 1), F.lit(1)))
-    return rows.select("doc_id", F.explode(F.transform(starts, lambda i: F.array_join(F.slice("c", i, F.lit(WIDTH)), ""))).alias("gram")).groupBy("doc_id", "gram").agg(F.least(F.count("*"), F.lit(CAP)).alias("weight"))
+    rows = docs.select("doc_id", run.alias("t")).where("t <> ''")
+    # One pass: a match takes one character and its group looks at the gram that starts there.
+    grams = F.regexp_extract_all("t", F.lit(f"(?s)(?=(.{{{WIDTH}}}))."), F.lit(1))
+    each = F.when(F.length("t") > WIDTH, grams).otherwise(F.array("t"))
+    return rows.select("doc_id", F.explode(each).alias("gram")).groupBy("doc_id", "gram").agg(F.least(F.count("*"), F.lit(CAP)).alias("weight"))
 
 
 def edges(prints: DataFrame, radius: int = 3) -> DataFrame:

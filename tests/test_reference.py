@@ -78,6 +78,13 @@ def test_text_functions(spark):
     assert qc.partial_ratio("Nguyễn Văn A", "Ông Nguyễn Văn A cho biết") == 100 and qc.partial_ratio("Nguyễn Văn A", "Bài về kinh tế") < 85
 
 
+def test_ngrams(spark):
+    texts = [None, "", "?!", "abc", "abcd", "abcde", "a" * 100, "Tiếng VIỆT, một hai\nba", "𝒳𝒴𝒵𝒲𝒳 𝒴𝒵", "x\r\ny z_1\u2028 2"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = [(r.doc_id, r.gram, r.weight) for r in near_dup.ngrams(docs).collect()]
+    assert sorted(got) == sorted((k, g, n) for k, t in enumerate(texts) for g, n in near_dup.gram_counts(t).items())
+
+
 def test_fingerprints():
     assert near_dup.gram_counts("hello") == {"hell": 1, "ello": 1} and near_dup.gram_counts("") == {} and near_dup.gram_counts("abc") == {"abc": 1}
     assert near_dup.gram_counts("a" * 100) == {"aaaa": 50}
