@@ -37,6 +37,8 @@ from corpusmill.sources.store import remove, written
 SEED = 42
 #: Rows of a shard that one task compares with each other.
 SHARD_ROWS = 2048
+#: Tables that are searched ahead of all, so that the rest need not connect again what these do.
+FIRST_TABLES = 8
 #: Texts of a group of candidates that one task verifies with each other.
 VERIFY_ROWS = 512
 #: Shingles whose hashes are held before they are counted.
@@ -199,16 +201,21 @@ class BKTree:
         return found
 
 
-def shard_links(fps: list[int], block: list[int], i: int, j: int, radius: int) -> list[tuple[int, int]]:
+def shard_links(fps: list[int], block: list[int], i: int, j: int, radius: int, root: list[int] | None = None) -> list[tuple[int, int]]:
     """Star edges that span the links of one group of a shard.
 
-    A group of one block compares all its rows; a group of two compares across them.
+    A group of one block compares all its rows; a group of two compares across them. Rows of
+    equal root count as connected and get no edge for it.
     """
     forest, tree = Forest(len(fps)), BKTree()
+    first: dict[int, int] = {}
+    at = range(len(fps)) if root is None else [first.setdefault(r, x) for x, r in enumerate(root)]
+    if len(first) == 1:
+        return []
     if i == j:
         for x, fp in enumerate(fps):
             for y in tree.search(fp, radius):
-                forest.link(x, y)
+                forest.link(at[x], at[y])
             tree.add(fp, x)
     else:
         for x, fp in enumerate(fps):
@@ -217,12 +224,17 @@ def shard_links(fps: list[int], block: list[int], i: int, j: int, radius: int) -
         for x, fp in enumerate(fps):
             if block[x] == j:
                 for y in tree.search(fp, radius):
-                    forest.link(x, y)
+                    forest.link(at[x], at[y])
     return forest.stars()
 
 
-def links(distinct: DataFrame, lanes: int, radius: int, picks: list[np.ndarray], cap: int = SHARD_ROWS) -> DataFrame:
-    """Edges u, v that connect the same nodes as all links among distinct (node, fp)."""
+def links(distinct: DataFrame, lanes: int, radius: int, picks: list[np.ndarray], cap: int = SHARD_ROWS, root_of: DataFrame | None = None, across: bool = True) -> DataFrame:
+    """Edges u, v that connect the same nodes as all links among distinct (node, fp).
+
+    With root_of (node, root), those that connect the same nodes together with it. Without
+    across, blocks of large shards are searched in themselves only, and links between are not found.
+    """
+    rooted = root_of is not None
 
     def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -235,19 +247,38 @@ def links(distinct: DataFrame, lanes: int, radius: int, picks: list[np.ndarray],
             node = t.column("node").to_numpy()
             fps = [int.from_bytes(x, "big") for x in t.column("fp").to_pylist()]
             block, bi, bj = (t.column(c).to_pylist() for c in ("block", "block_i", "block_j"))
+            root = t.column("root").to_pylist() if rooted else None
             u, v = [], []
             for a, z in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-                for x, y in shard_links(fps[a:z], block[a:z], bi[a], bj[a], radius):
+                for x, y in shard_links(fps[a:z], block[a:z], bi[a], bj[a], radius, root and root[a:z]):
                     u.append(node[a + x])
                     v.append(node[a + y])
             yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
     rows = distinct.select("node", "fp").mapInArrow(shard, "node bigint, shard bigint")
+    known = distinct.select("node", "fp")
+    if rooted:
+        known, _ = written(known.join(root_of, "node", "left").withColumn("root", F.coalesce("root", "node")), "known")
     # Fingerprints join when shards of one row are gone.
-    dealt = in_blocks(rows, ["shard"], "node", cap).join(distinct.select("node", "fp"), "node")
+    dealt = in_blocks(rows, ["shard"], "node", cap, known.select("node", "root") if rooted else None, across).join(known, "node")
     return grouped(dealt, ["shard", "block_i", "block_j"]).mapInArrow(search, "u bigint, v bigint")
 
 
+def linked(distinct: DataFrame, lanes: int, radius: int, picks: list[np.ndarray], cap: int = SHARD_ROWS, first: int = FIRST_TABLES) -> DataFrame:
+    """node, root: components of the links among distinct (node, fp).
+
+    Members of one group share a key in most tables, so each of them would get an edge from every
+    table and every pair of blocks. With many tables a few come first, in single blocks; what they
+    connect need not be connected again, and all tables and pairs of blocks look for the rest. No
+    pair of different roots that shares a key goes unseen.
+    """
+    if len(picks) <= 2 * first:
+        return components(links(distinct, lanes, radius, picks, cap))
+    root_of = components(links(distinct, lanes, radius, picks[:first], cap, across=False))
+    more = links(distinct, lanes, radius, picks, cap, root_of)
+    return components(more.union(root_of.select("node", "root")))
+
+
 def unpacked(fps: list[bytes], lanes: int) -> np.ndarray:
     return np.frombuffer(b"".join(fps), dtype=">u8").reshape(-1, lanes).astype(np.uint64)
 
@@ -324,7 +355,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, lanes: int = 1, radius: int
     distinct, distinct_path = written(named.select("name", "first_id", "one.*", F.monotonically_increasing_id().alias("node")), "distinct")
     n = distinct.count()
     picks = exact_layout(n, radius) if similarity is None else layout(n, lanes, similarity, recall)
-    root_of = components(links(distinct, lanes, radius, picks, cap))
+    root_of = linked(distinct, lanes, radius, picks, cap)
     paths = [distinct_path]
     if least is not None:
         edges, path = verified(docs, distinct, root_of, words, lanes, radius, least)

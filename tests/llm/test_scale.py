@@ -322,6 +322,42 @@ def test_near_duplicates_recall_by_similarity(spark):
     assert not any(x for x, s in zip(linked, similarity, strict=True) if s < 0.8)
 
 
+@pytest.mark.parametrize("cap", [40, 2048])
+def test_search_rows_of_a_group_do_not_grow_with_tables_and_blocks(spark, monkeypatch, cap):
+    rng = np.random.default_rng(33)
+    w = [f"w{i}" for i in range(200)]
+    rows = []
+    for k in range(400):
+        v = list(w)
+        v[int(rng.integers(5, 195))] = f"new{k}"
+        rows.append((k, " ".join(v), "s"))
+    rows += [(k, words(rng, 60, 3000), "s") for k in range(400, 500)]
+    found, links = [], simhash.links
+
+    def counted(*args, **named):
+        edges = links(*args, **named)
+        found.append(edges.count())
+        return edges
+
+    monkeypatch.setattr(simhash, "links", counted)
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(spark.createDataFrame(rows, DOC), **corpus_pipeline.NEAR, cap=cap).collect()}
+    assert got == {k: 0 if k < 400 else k for k in range(500)}
+    assert 399 <= sum(found) < 15 * 400
+
+
+def test_blocks_of_one_root_do_not_meet(spark):
+    rows = spark.createDataFrame([(1, n) for n in range(2003)] + [(2, n) for n in range(3000, 3020)] + [(3, 1)], "bucket bigint, node bigint")
+    root_of = spark.createDataFrame([(n, 0 if n < 2000 else n) for n in [*range(2003), *range(3000, 3020)]], "node bigint, root bigint")
+    dealt = in_blocks(rows, ["bucket"], "node", 50, root_of).collect()
+    groups = {}
+    for r in dealt:
+        groups.setdefault((r.bucket, r.block_i, r.block_j), set()).add(r.node)
+    met = {n: set().union(*(g for (b, _, _), g in groups.items() if b == 1 and n in g)) for n in (2000, 2001, 2002)}
+    assert all(m == set(range(2003)) for m in met.values())
+    assert groups[2, 0, 0] == set(range(3000, 3020)) and not any(b == 3 for b, _, _ in groups)
+    assert len(dealt) < 2003 * 10 and max(map(len, groups.values())) <= 2 * 90
+
+
 def test_quality_of_very_long_and_repeated_rows(spark):
     rng = np.random.default_rng(13)
     long = words(rng, 40_000, 2000)
