@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
+
+from corpusmill.sources.store import written
 
 TOKENS = {"ascii": r"[a-z0-9]+", "unicode": r"[\p{L}\p{N}]+"}
 
@@ -25,8 +30,39 @@ def f_measure(overlap: Column, predicted: Column, wanted: Column) -> Column:
     return F.when(overlap > 0, 2.0 * overlap / (predicted + wanted)).otherwise(0.0)
 
 
+def overlap_of(n: int) -> Callable[[Column, Column], Column]:
+    """A column function of two texts whose words one blank parts: o, p, r, their common n-grams and those of each."""
+
+    def counted(text: str) -> Counter:
+        words = text.split()
+        return Counter(zip(*(words[k:] for k in range(n)), strict=False))
+
+    @F.pandas_udf(StructType([StructField(c, LongType()) for c in "opr"]))
+    def run(predicted: pd.Series, wanted: pd.Series) -> pd.DataFrame:
+        both = ((counted(x), counted(y)) for x, y in zip(predicted, wanted, strict=True))
+        return pd.DataFrame([((a & b).total(), a.total(), b.total()) for a, b in both], columns=["o", "p", "r"])
+
+    return run
+
+
 def rouge_n(pairs: DataFrame, n: int, tokenizer: str = "ascii") -> DataFrame:
-    """pairs(id, prediction, reference) to id, f: overlap of n-grams, each counted as often as both have it."""
+    """pairs(id, prediction, reference) to id, f: overlap of n-grams, each counted as often as both have it.
+
+    A pair is counted where it is read, and no gram is dealt out. Only pairs that share an id,
+    and so their grams, are taken apart; those without one score 0.
+    """
+    joined = (F.array_join(tokens(F.col(c), tokenizer), " ") for c in ("prediction", "reference"))
+    each, _ = written(pairs.select("id", overlap_of(n)(*joined).alias("n")).select("id", "n.*"), "overlaps")
+    shared, _ = written(each.where("id is not null").groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id"), "shared-ids")
+    score = F.when(F.col("id").isNotNull(), f_measure(F.col("o"), F.col("p"), F.col("r"))).otherwise(0.0)
+    if shared.isEmpty():
+        return each.select("id", score.alias("f"))
+    alone = each.join(shared, "id", "left_anti").select("id", score.alias("f"))
+    return alone.union(rouge_n_by_id(pairs.join(shared, "id", "left_semi"), n, tokenizer))
+
+
+def rouge_n_by_id(pairs: DataFrame, n: int, tokenizer: str) -> DataFrame:
+    """rouge_n() by way of every gram of every id; all pairs of an id score what they have together."""
     # Words in columns of their own: within grams they would be found anew for every gram.
     words = pairs.select("id", tokens(F.col("prediction"), tokenizer).alias("p"), tokens(F.col("reference"), tokenizer).alias("r"))
     sides = words.select("id", F.explode(F.array(F.struct(F.lit(0).alias("side"), grams(F.col("p"), n).alias("g")), F.struct(F.lit(1).alias("side"), grams(F.col("r"), n).alias("g")))).alias("s"))

@@ -35,3 +35,14 @@ def test_normal_form_without_python(spark):
     assert "Python" not in plan(qc.run_qc(rows, fuzzy=False))
     # Only the fuzzy step is left to Python, in one worker.
     assert plan(qc.run_qc(rows)).count("ArrowEvalPython [") == 1
+
+
+def test_rouge_of_rows_and_of_shared_ids(spark):
+    pairs = [(1, "the cat sat on the cat", "the cat ran on the cat fast"), (2, "", "x"), (3, None, "a b"), (4, "a b a b", "b a b")]
+    more = [*pairs, (1, "cat ran", "dog"), (None, "a b", "a b"), (2, "x y", "x")]
+    for rows in (pairs, more):
+        df = spark.createDataFrame(rows, "id int, prediction string, reference string")
+        for n in (1, 2, 3):
+            got, want = (sorted(map(tuple, x.collect()), key=str) for x in (rouge.rouge_n(df, n), rouge.rouge_n_by_id(df, n, "ascii")))
+            assert got == want
+    assert "Join" not in plan(rouge.rouge_n(spark.createDataFrame(pairs, "id int, prediction string, reference string"), 2))
