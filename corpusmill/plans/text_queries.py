@@ -100,7 +100,7 @@ def q_qc_pass_rate(spark, d):
 
 
 def q_ngram_weights(spark, d):
-    return near_dup.ngrams(dealt(docs(spark, d))).groupBy("doc_id").agg(F.count("*").alias("grams"), F.sum("weight").alias("weight"))
+    return near_dup.gram_totals(dealt(docs(spark, d)))
 
 
 def prints(spark, d):

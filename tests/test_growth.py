@@ -37,6 +37,19 @@ def test_normal_form_without_python(spark):
     assert plan(qc.run_qc(rows)).count("ArrowEvalPython [") == 1
 
 
+def test_gram_totals_of_rows_and_of_shared_ids(spark):
+    texts = [(1, "abcdefgh" * 60), (2, "Tiếng Việt một hai"), (3, "abc"), (4, None), (5, "?!"), (6, "𝒳𝒴𝒵𝒲𝒳 𝒴𝒵"), (7, "a" * 100)]
+    more = [*texts, (1, "abcdefgh" * 30), (None, "xin chào"), (None, "chào xin"), (3, "bcd")]
+    for rows in (texts, more):
+        docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+        want = near_dup.ngrams(docs).groupBy("doc_id").agg(F.count("*").alias("grams"), F.sum("weight").alias("weight"))
+        assert Counter(map(tuple, near_dup.gram_totals(docs).collect())) == Counter(map(tuple, want.collect()))
+
+
+def test_ngram_weights_deals_out_no_grams(spark):
+    assert "Exchange" not in plan(text_queries.q_ngram_weights(spark, "/root/testdata/sf0.001"))
+
+
 def test_rouge_of_rows_and_of_shared_ids(spark):
     pairs = [(1, "the cat sat on the cat", "the cat ran on the cat fast"), (2, "", "x"), (3, None, "a b"), (4, "a b a b", "b a b")]
     more = [*pairs, (1, "cat ran", "dog"), (None, "a b", "a b"), (2, "x y", "x")]
@@ -46,3 +59,13 @@ def test_rouge_of_rows_and_of_shared_ids(spark):
             got, want = (sorted(map(tuple, x.collect()), key=str) for x in (rouge.rouge_n(df, n), rouge.rouge_n_by_id(df, n, "ascii")))
             assert got == want
     assert "Join" not in plan(rouge.rouge_n(spark.createDataFrame(pairs, "id int, prediction string, reference string"), 2))
+
+
+def test_fingerprints_by_codes():
+    for t in ("abcd", "Tiếng Việt " * 80, "𝔸𝔹cdé", "a" * 500, "中文字符測試" * 20, "".join(map(chr, range(0x4E00, 0x5800)))):
+        votes, total = [0] * 64, 0
+        for gram, weight in near_dup.gram_counts(t).items():
+            total += weight
+            h = int.from_bytes(near_dup.gram_hash(gram), "big")
+            votes = [v + weight * (h >> i & 1) for i, v in enumerate(votes)]
+        assert near_dup.fingerprint(t) % 2**64 == sum(1 << i for i, v in enumerate(votes) if 2 * v > total)
