@@ -8,11 +8,11 @@ from urllib.robotparser import RobotFileParser
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType
+from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
 from corpusmill.functions import dates, text, urls
-from corpusmill.functions.html import extract_html
-from corpusmill.operators.near_dup import near_dup_kept, simhash64
+from corpusmill.functions.html import EXTRACTED, FIELDS, extract
+from corpusmill.operators.near_dup import fingerprint, near_dup_kept
 from corpusmill.sources.store import written
 
 COUNTERS = ("discovered", "fetched", "extracted", "skipped_duplicate", "skipped_robots", "fetch_failed", "extract_failed")
@@ -22,6 +22,14 @@ AGENT = "corpusmill/1.0"
 RECORD = ("article_id", "source", "url", "title", "category", "published_at", "content_text")
 
 
+@F.pandas_udf(StructType([*EXTRACTED, StructField("fp", LongType())]))
+def extract_with_print(html: pd.Series) -> pd.DataFrame:
+    """extract_html() and the text's fingerprint, null without a text, in one turn of one worker."""
+    found = [extract(h) for h in html]
+    prints = [None if x["content_text"] is None else fingerprint(x["content_text"]) for x in found]
+    return pd.DataFrame(found, columns=FIELDS).assign(fp=pd.array(prints, dtype="Int64"))
+
+
 def some(*columns: Column) -> Column:
     """The first that is neither null nor empty."""
     return F.coalesce(*(F.nullif(c, F.lit("")) for c in columns))
@@ -116,8 +124,8 @@ def crawl_all(found: DataFrame, pages: DataFrame, robots: DataFrame | None, agen
     tried = F.col("is_first") & F.col("allowed")
     got = tried & F.col("html").isNotNull() & F.col("fetch_error").isNull()
     # Only what was fetched reaches the parser.
-    parsed = fetched.where(got).withColumn("_x", extract_html("html")).withColumn("content_text", F.coalesce("_x.content_text", F.lit("")))
-    parsed = parsed.withColumn("word_count", text.word_count(F.col("content_text"))).withColumn("fp", F.when(F.col("word_count") >= 50, simhash64("content_text")))
+    parsed = fetched.where(got).withColumn("_x", extract_with_print("html")).withColumn("content_text", F.coalesce("_x.content_text", F.lit("")))
+    parsed = parsed.withColumn("word_count", text.word_count(F.col("content_text"))).withColumn("fp", F.when(F.col("word_count") >= 50, F.col("_x.fp")))
     why = F.concat("url", F.lit(": "), F.coalesce("fetch_error", F.lit("not fetched")))
     rest = fetched.where(~F.coalesce(got, F.lit(False))).select("source", F.when(~F.col("is_first"), "skipped_duplicate").when(~F.col("allowed"), "skipped_robots").otherwise("fetch_failed").alias("outcome"), F.when(tried, why).alias("error"), *ORDER)
     texts, _ = written(parsed.select(*found.columns, "_x", "content_text", "word_count", "fp"), "texts")

@@ -26,6 +26,25 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def test_batches_are_bounded_in_bytes(spark):
+    rows = spark.range(0, 400, 1, 1).withColumn("t", F.repeat(F.lit("x"), 100_000))
+
+    def sizes(batches):
+        for b in batches:
+            yield pd.DataFrame({"n": [b["t"].str.len().sum()]})
+
+    got = [r.n for r in rows.mapInPandas(sizes, "n bigint").collect()]
+    assert sum(got) == 40_000_000 and max(got) < 6_000_000
+
+
+def test_pages_take_one_worker(spark):
+    html = "<html><head><title>T</title></head><body><article><p>" + " ".join(f"w{k}" for k in range(60)) + "</p></article></body></html>"
+    df = spark.createDataFrame([(1, html), (2, "<p>short</p>"), (3, None)], "i int, html string")
+    got = {r.i: r.x for r in df.select("i", crawl.extract_with_print("html").alias("x")).collect()}
+    assert got[1].title == "T" and got[1].fp == near_dup.fingerprint(got[1].content_text)
+    assert got[2].content_text is None is got[2].fp and got[3].fp is None
+
+
 def test_normal_form_without_python(spark):
     texts = ["", "abc", "Nguyễn", "ẹ́", "한", "Å", "̈́", "ẋ̣", "\U00011099\U000110ba", None]
     df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string")
