@@ -88,3 +88,16 @@ def test_fingerprints_by_codes():
             h = int.from_bytes(near_dup.gram_hash(gram), "big")
             votes = [v + weight * (h >> i & 1) for i, v in enumerate(votes)]
         assert near_dup.fingerprint(t) % 2**64 == sum(1 << i for i, v in enumerate(votes) if 2 * v > total)
+
+
+def test_pairs_take_fingerprints_once(spark, tmp_path):
+    folder = str(tmp_path)
+
+    @F.pandas_udf(LongType())
+    def seen(x: pd.Series) -> pd.Series:
+        for _ in x:
+            open(f"{folder}/{uuid.uuid4().hex}", "w").close()
+        return x
+
+    prints = spark.range(40).select(F.col("id").alias("seq"), seen("id").alias("fp"))
+    assert near_dup.edges(prints).count() > 0 and len(list(tmp_path.iterdir())) == 40
