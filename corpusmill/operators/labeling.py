@@ -17,11 +17,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StringType, StructField, StructType
 
 from corpusmill.operators.qc import QcConfig, run_qc, source_text
-from corpusmill.sources.store import written
+from corpusmill.sources.store import appended, remove, written
 
 # The prompt.
 PROMPT_VERSION = "1.2.0"
 CONTENT_CHARS = 6000
+#: Bytes of text that one labelling task reads.
+TASK_BYTES = 64_000_000
 SYSTEM_PROMPT = """Bạn là biên tập viên báo chí tiếng Việt. Tóm tắt phải:
 - Trung thực 100% với bài gốc; KHÔNG suy diễn, KHÔNG bịa số liệu hay tên riêng.
 - 2-3 câu, tổng cộng 40-70 từ.
@@ -224,18 +226,33 @@ def call_model(prompts: DataFrame, generate: Generate) -> DataFrame:
     return prompts.mapInArrow(run, columns + ", raw string, call_error string")
 
 
+def waves(rows: DataFrame, tasks: int) -> Iterator[DataFrame]:
+    """rows in parts of `tasks` partitions, to be run one after the other, so that at most `tasks` run at once and none reads much over TASK_BYTES."""
+    size = sum((F.coalesce(F.octet_length(F.col(c)), F.lit(0)) for c in ("title", "content_text")), F.lit(0).cast("bigint"))
+    n = -(-(rows.agg(F.sum(size)).first()[0] or 0) // (tasks * TASK_BYTES))
+    if n <= 1:
+        yield rows.repartition(tasks)
+        return
+    dealt, path = written(rows.repartition(n * tasks), "dealt-rows")
+    files = sorted(dealt.inputFiles())
+    for k in range(0, len(files), tasks):
+        yield rows.sparkSession.read.schema(dealt.schema).parquet(*files[k : k + tasks]).coalesce(tasks)
+    remove(rows.sparkSession, path)
+
+
 def label_rows(rows: DataFrame, generate: Generate, concurrency: int = 5, limit: int | None = None, cfg: QcConfig = QcConfig()) -> DataFrame:
     """rows(article_id, title, category, source, content_text, ...) with the seven label columns, by article_id.
 
-    At most `concurrency` calls run at once. Answers are written before anything reads them,
+    At most `concurrency` calls run at once, in as many tasks as that at a time, of bounded
+    size. Answers are written before anything reads them,
     so however often the result is computed, a row's model is asked once; only a task that
     fails asks again. Label columns that exist are replaced. Failed calls and bad responses
     give rows that failed quality control with the reason.
     """
     if limit is not None:
         rows = rows.orderBy("article_id").limit(limit)
-    prompts = rows.repartition(max(concurrency, 1)).withColumn("user_prompt", render_prompt(F.col("title"), F.col("category"), F.col("source"), F.col("content_text")))
-    answers, _ = written(call_model(prompts, generate), "answers")
+    prompt = render_prompt(F.col("title"), F.col("category"), F.col("source"), F.col("content_text"))
+    answers = appended((call_model(part.withColumn("user_prompt", prompt), generate) for part in waves(rows, max(concurrency, 1))), "answers")
     called = answers.withColumn("_l", parse_labels("raw"))
     error = F.coalesce("call_error", "_l.error")
     fields = {"summary": F.regexp_replace("_l.summary", r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", ""), "key_entities": F.col("_l.key_entities"), "confidence": F.col("_l.confidence"), "refusal_reason": F.coalesce("call_error", "_l.refusal_reason"), "_error": error, "source_text": source_text(F.col("title"), F.col("content_text"))}

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import uuid
+from collections.abc import Iterable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -94,6 +95,15 @@ def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def appended(frames: Iterable[DataFrame], name: str) -> DataFrame:
+    """written() of frames of the same columns, one after the other, as one table."""
+    path = None
+    for df in frames:
+        path = path or work_path(df.sparkSession, name)
+        df.write.mode("append").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def remove(spark: SparkSession, *paths: str) -> None:
     """Delete paths of any store that Spark can reach."""
     for path in paths:

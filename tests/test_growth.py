@@ -101,3 +101,17 @@ def test_pairs_take_fingerprints_once(spark, tmp_path):
 
     prints = spark.range(40).select(F.col("id").alias("seq"), seen("id").alias("fp"))
     assert near_dup.edges(prints).count() > 0 and len(list(tmp_path.iterdir())) == 40
+
+
+def test_labelling_tasks_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(labeling, "TASK_BYTES", 1000)
+
+    def answer(system, user):
+        c = TaskContext.get()
+        return json.dumps({"summary": f"{c.stageId()} {c.partitionId()}", "key_entities": [], "confidence": 0.5, "refusal_reason": None})
+
+    rows = spark.createDataFrame([(i, "t", None, "s", "x" * 99) for i in range(200)], "article_id bigint, title string, category string, source string, content_text string")
+    got = labeling.label_rows(rows, answer, concurrency=3).collect()
+    tasks = Counter(r.summary for r in got)
+    assert [r.article_id for r in got] == list(range(200)) and max(tasks.values()) <= 20
+    assert {k.split()[1] for k in tasks} <= {"0", "1", "2"}
